@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing
+from . import bpe, langid, packing, syncmers
 from . import common as C
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep=["doc_id", held.alias("held_out")])
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_likeness(C.table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.small_batches(spark)
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -29,7 +33,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_best_fit_packing, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op5_best_fit_packing, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
