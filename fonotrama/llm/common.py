@@ -33,6 +33,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def split_of(id_col: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

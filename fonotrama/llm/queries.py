@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, syncmers
+from . import bpe, chat, langid, packing, secretscan, syncmers
 from . import common as C
 
 
@@ -22,6 +22,18 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(C.table(spark, sf_dir, "documents"))
 
 
+#: A conversation of control strings, beside those of the table.
+ODD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark)
+    names = ("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(CAST({c} AS BIGINT), CAST({t} AS BIGINT), '{r}', '{x}')" for c, t, r, x in ODD_TURNS) + f" AS t({', '.join(names)})")
+    turns = chat.rendered_turns(C.table(spark, sf_dir, "conversations").select(*names).unionByName(odd))
+    return chat.read_back(turns, C.partitions(spark))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.small_batches(spark)
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -32,8 +44,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark)
+    docs = C.table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.fit(docs))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op5_best_fit_packing, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op5_best_fit_packing, op7_byte_bpe, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
