@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, secretscan, syncmers
+from . import bpe, chat, langid, neardup, packing, secretscan, syncmers
 from . import common as C
 
 
@@ -34,6 +34,11 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns, C.partitions(spark))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark)
+    return neardup.classes(C.table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.small_batches(spark)
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,7 +56,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op5_best_fit_packing, op7_byte_bpe, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op7_byte_bpe, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
