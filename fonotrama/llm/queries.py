@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, packing, secretscan, syncmers
+from . import bpe, chat, langid, neardup, packing, quality, secretscan, syncmers
 from . import common as C
 
 
@@ -44,6 +44,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark)
+    docs = C.table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.small_batches(spark, 4096)
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,7 +62,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op7_byte_bpe, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op6_quality, op7_byte_bpe, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
