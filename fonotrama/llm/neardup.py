@@ -9,10 +9,13 @@ documents agree in a slot with exactly the probability of their weighted Jaccard
 stops at the largest value among the document's slots, beyond which no point can count.
 
 Equal texts are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` slots share a bucket. In
-a bucket every node is compared with one pivot, first the least id, then in further rounds a pivot drawn
-anew, against nodes of other classes only, until a round joins no classes (and ``ROUNDS`` were made); no
-bucket is capped and none is expanded into pairs. Pairs of which too few slots agree (``LEAST_SLOTS``,
-more than seven standard deviations below the threshold) are left out; the others are verified on the
+a bucket every node is compared with two pivots: the least id, and the node that shares most with others
+(of copies of one text with changes, that text). Further rounds draw ``PIVOTS`` nodes per bucket, those
+still without a link first, and compare them with all nodes of other classes in it, until a round joins
+no classes or after ``ROUNDS`` rounds. No bucket is capped and none is expanded into pairs. A link of
+similarity 0.8 stands in nine buckets on average, so it escapes only if neither of its ends is drawn in
+any of these in any round; in groups where all are similar to one text, nothing is left to draw. Pairs of which too few slots agree (``LEAST_SLOTS``,
+nearly five standard deviations below the threshold) are left out; the others are verified on the
 whole texts by the exact weighted Jaccard similarity. Verified links are joined into classes.
 
 Defined results: a null text is empty; texts without words are alike only if equal; a text of one to four
@@ -37,12 +40,13 @@ from . import graph
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
-LEAST_SLOTS = 0.55
-ROUNDS = 2
+LEAST_SLOTS = 0.64
+#: Pivots drawn per bucket in each round after the first.
+PIVOTS, ROUNDS = 4, 4
 #: Ids that are broadcast at most (8 bytes each); beyond, tables are joined by exchange.
 SENT_IDS = 400_000
-#: Members of a pivot that one group of rows verifies, about.
-STAR = 64
+#: Pairs that one group of rows verifies at most, about.
+STAR = 512
 NO_ID = -(2**63)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -140,7 +144,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         on = (ca == cb).mean(1) >= least
         return {n: batch.column(n).to_numpy()[on] for n in ("a", "b")}
 
-    return C.map_rows(rows, run, "a long, b long").distinct()
+    return C.map_rows(rows, run, "a long, b long")
 
 
 def some_of(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -152,13 +156,15 @@ def some_of(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of pairs (a, b), those whose bags are similar. ``texts``: id, text.
 
-    The members b of a pivot a are dealt into groups of about ``STAR``, each with a copy of the pivot's text; sorted,
-    a group is read as a stream: first the pivot, then its members.
+    The members b of a pivot a are dealt into as many groups as keep each under about ``STAR``, with a copy of the
+    pivot's text in each; sorted, a group is read as a stream: first the pivot, then its members.
     """
-    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).alias("part"))
-    members = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
-    pivots = dealt.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    n = pairs.count()
+    parts = -(-n // STAR) or 1
+    sent = F.broadcast if n <= SENT_IDS // 4 else lambda df: df  # 24 bytes each
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part"))
+    members = texts.select(F.col("id").alias("b"), "text").join(sent(dealt), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    pivots = texts.select(F.col("id").alias("a"), "text").join(sent(dealt.select("a", "part").distinct()), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     rows = pivots.unionByName(members).repartition(C.partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "b", "text")
     schema = C.arrow_schema("u long, v long")
 
@@ -179,7 +185,24 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return rows.mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+def _candidates(buckets: DataFrame, links: DataFrame | None, drawn: int) -> DataFrame:
+    """Distinct pairs (pivot a, member b) of different classes that share a bucket; ``drawn`` is 0 for the least id as pivot."""
+    if links is None:
+        shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        share = buckets.join(shared, "key").groupBy("id").agg(F.sum("n").alias("n"))
+        two = buckets.join(share, "id").groupBy("key").agg(F.array(F.min("id"), F.min(F.struct(-F.col("n"), "id"))["id"]).alias("pivots"))
+        pairs = buckets.join(two, "key").select("id", F.explode(F.array_distinct("pivots")).alias("a")).where("id <> a")
+        return pairs.select("a", F.col("id").alias("b")).distinct()
+    heads = links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct()
+    known = links.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(heads)
+    of = some_of(buckets, known, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"), F.col("class").isNotNull().alias("linked"))
+    draws = [F.min(F.struct("linked", F.xxhash64("id", F.lit(drawn * PIVOTS + j)).alias("order"), "id", "class")) for j in range(PIVOTS)]
+    pivots = of.groupBy("key").agg(F.array(*draws).alias("pivots"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "pivots")
+    pairs = of.join(pivots, "key").select("id", "class", F.explode(F.filter("pivots", lambda p: p["class"] != F.col("class"))).alias("p"))
+    return pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id`` per row: the least id among all documents that chains of similar ones connect."""
     signed = C.settle(signatures(docs, id_col, text))
     alike = C.settle(signed.groupBy("d1", "d2").agg(F.min("id").alias("id")))
@@ -188,25 +211,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     banded = nodes.select("id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     buckets = C.settle(banded.join(shared, "key", "left_semi"))
-    links = docs.sparkSession.createDataFrame([], "u long, v long")
-    held = some_of(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")), buckets.select("id").distinct(), "id", "left_semi")
-    texts = C.settle(held)
-    tried, k = None, 0
-    while True:
-        of = buckets.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
-        pivot = of.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "class")).alias("p"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", F.col("p.id").alias("a"), F.col("p.class").alias("other"))
-        pairs = of.join(pivot, "key").where("class <> other").select("a", F.col("id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.settle(_agreeing(pairs, nodes, LEAST_SLOTS))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = C.settle(verified(pairs, texts, similar)) if pairs.take(1) else None
-        grew = new is not None and bool(new.take(1))
-        if grew:
-            links = graph.components(links.unionByName(new))
-        k += 1
-        if not grew and k >= rounds:
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    texts = C.settle(some_of(texts, buckets.select("id").distinct(), "id", "left_semi"))
+    links, drawn = None, 0
+    while drawn < ROUNDS:
+        pairs = C.settle(_agreeing(_candidates(buckets, links, drawn), nodes, LEAST_SLOTS))
+        new = C.settle(verified(pairs, texts, similar))
+        if new.isEmpty():
             break
-    of = alike.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left").select("d1", "d2", F.coalesce("class", "id").alias("class_id"))
+        links = graph.components(new if links is None else links.unionByName(new))
+        drawn += 1
+    of = alike if links is None else alike.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left")
+    of = of.select("d1", "d2", (F.col("id") if links is None else F.coalesce("class", "id")).alias("class_id"))
     return signed.join(of, ["d1", "d2"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))
