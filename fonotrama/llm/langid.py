@@ -128,3 +128,19 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     return C.map_rows(rows, score, ddl)
+
+
+#: Below this likeness to the nearest profile a language is not taken as known.
+KNOWN = 0.2
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is recognised."""
+    schema = docs.schema
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        found = [profiles.rank(t) for t in C.texts_of(batch, text)]
+        held = batch.filter(pa.array([lang != UNKNOWN and score >= KNOWN for lang, score in found]))
+        return {f.name: held.column(f.name) for f in schema} if held.num_rows else None
+
+    return C.map_rows(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))

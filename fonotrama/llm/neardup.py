@@ -224,3 +224,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     of = alike if links is None else alike.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left")
     of = of.select("d1", "d2", (F.col("id") if links is None else F.coalesce("class", "id")).alias("class_id"))
     return signed.join(of, ["d1", "d2"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the document of the least id of each class only; a row without an id stays."""
+    found = C.settle(classes(docs, id_col, text))
+    rest = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = some_of(docs, rest, id_col, "left_anti").select(*docs.columns)
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return kept
+    again = C.settle(again)
+    once = some_of(kept, again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return some_of(kept, again, id_col, "left_anti").select(*docs.columns).unionByName(once)
