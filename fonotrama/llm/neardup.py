@@ -10,11 +10,12 @@ stops at the largest value among the document's slots, beyond which no point can
 
 Equal texts are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` slots share a bucket. In
 a bucket every node is compared with two pivots: the least id, and the node that shares most with others
-(of copies of one text with changes, that text). Further rounds draw ``PIVOTS`` nodes per bucket, those
-still without a link first, and compare them with all nodes of other classes in it, until a round joins
-no classes or after ``ROUNDS`` rounds. No bucket is capped and none is expanded into pairs. A link of
-similarity 0.8 stands in nine buckets on average, so it escapes only if neither of its ends is drawn in
-any of these in any round; in groups where all are similar to one text, nothing is left to draw. Pairs of which too few slots agree (``LEAST_SLOTS``,
+(of copies of one text with changes, that text). A further round draws
+``PIVOTS`` nodes per bucket, those still without a link first, and compares them with all nodes of other
+classes in it; rounds end when one joins no classes, or after ``ROUNDS``. No bucket is capped and none is
+expanded into pairs. A link of similarity 0.8 stands in nine buckets on average and so meets many draws;
+what escapes is a text that lies under 0.8 from its group's centre and from all nodes drawn, but over it
+from another (the README has a measured figure). Pairs of which too few slots agree (``LEAST_SLOTS``,
 nearly five standard deviations below the threshold) are left out; the others are verified on the
 whole texts by the exact weighted Jaccard similarity. Verified links are joined into classes.
 
@@ -42,7 +43,7 @@ BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 LEAST_SLOTS = 0.64
 #: Pivots drawn per bucket in each round after the first.
-PIVOTS, ROUNDS = 4, 4
+PIVOTS, ROUNDS = 3, 2
 #: Ids that are broadcast at most (8 bytes each); beyond, tables are joined by exchange.
 SENT_IDS = 400_000
 #: Pairs that one group of rows verifies at most, about.

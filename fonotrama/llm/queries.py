@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, packing, quality, secretscan, syncmers
+from . import ann, bpe, chat, langid, neardup, packing, quality, secretscan, syncmers
 from . import common as C
 
 
@@ -55,6 +55,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark, 4096)
+    return ann.search(C.table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.small_batches(spark)
     docs = C.table(spark, sf_dir, "documents")
@@ -62,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op6_quality, op7_byte_bpe, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op6_quality, op7_byte_bpe, op8_nearest_neighbours, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
