@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, neardup, packing, quality, secretscan, syncmers
+from . import ann, bpe, chat, langid, maxent, neardup, packing, quality, secretscan, syncmers
 from . import common as C
 
 
@@ -66,8 +66,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(docs, secretscan.fit(docs))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.small_batches(spark)
+    return maxent.score(C.table(spark, sf_dir, "documents"), C.is_fold("doc_id", 5, 1))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op6_quality, op7_byte_bpe, op8_nearest_neighbours, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_chat_round_trip, op4_near_duplicates, op5_best_fit_packing, op6_quality, op7_byte_bpe, op8_nearest_neighbours, op9_secret_scan, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
