@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +15,13 @@ TOKEN = r"[\p{L}\p{M}'-]+|[;:,.!?—…\"«»“”(){}₹\[\]]|\s+"
 PAUSE = r"[;:,.!?¡¿—…\"«»“”(){}₹\[\]]"
 VOWELS = "aeoáéóâêôãõàiuíúïü"
 VOICED = "bdgjlmnrvz"
-WORD = r"(?U)[\w'-]+"
-_MARKS = {"a": "àáâã", "e": "èéêẽ", "i": "ìíîĩ", "o": "òóôõ", "u": "ùúûũ", "c": "ç", "n": "ñ", "A": "ÀÁÂÃ", "E": "ÈÉÊẼ", "O": "ÒÓÔÕ"}
-_ABOVE = "̀́̂̃"
+WORD = r"[\p{L}\p{N}_'-]+"
+#: Composed letters and their decompositions, by rule: a vowel, c or n with a mark that may stand on it.
+COMPOSED = {
+    unicodedata.normalize("NFC", base + mark): base + mark
+    for mark, bases in (("\u0300", "aeiou"), ("\u0301", "aeiouy"), ("\u0302", "aeiou"), ("\u0303", "aeinou"), ("\u0308", "aeiouy"), ("\u0327", "c"))
+    for base in bases + bases.upper()
+}
 
 
 # --- normalisation steps that need no callback (NRM2-6, 23, 24) ---------------------------------------------
@@ -36,17 +42,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normalise.normalise(t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else normalise.sentences(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_ipa(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else kernel.word_ipa(w))
 
@@ -79,7 +85,7 @@ def sounded_u(word: Column) -> Column:
 
 
 def ks_stem(word: Column) -> Column:
-    bare = F.translate(F.lower(word), "".join(v for k, v in _MARKS.items() if k.islower()), "".join(k * len(v) for k, v in _MARKS.items() if k.islower()))
+    bare = F.regexp_replace(F.translate(F.lower(word), "".join(COMPOSED), "".join(v[0] for v in COMPOSED.values())), "[\u0300-\u036f]", "")
     return ~bare.rlike(f"^({'|'.join(kernel.KS_NOT)})") & bare.rlike("|".join(kernel.KS_STEMS))
 
 
@@ -178,12 +184,11 @@ def base_ipa(ipa: Column) -> Column:
 
 
 def decomposed(c: Column) -> Column:
-    """NFD over the letters that phoneme strings hold."""
-    for base, forms in _MARKS.items():
-        marks = {"ç": "̧", "ñ": "̃"}
-        for i, form in enumerate(forms):
-            c = F.replace(c, F.lit(form), F.lit(base + marks.get(form, _ABOVE[i])))
-    return c
+    """NFD over the letters that texts and phoneme strings of the language hold."""
+    out = c
+    for one, two in COMPOSED.items():
+        out = F.replace(out, F.lit(one), F.lit(two))
+    return F.when(c.rlike(f"[{''.join(COMPOSED)}]"), out).otherwise(c)
 
 
 def plain_ipa(c: Column) -> Column:
@@ -195,12 +200,12 @@ def plain_ipa(c: Column) -> Column:
 
 def speech_text(ipa: Column) -> Column:
     """PP2: the tokens of ``speech_tokens``, joined."""
-    c = F.replace(decomposed(F.translate(ipa, "_‍‌", "")), F.lit("c"), F.lit("k"))
+    marks = "[.,!?:;…]"
+    c = F.replace(decomposed(F.translate(ipa, "_\u200d\u200c", "")), F.lit("c"), F.lit("k"))
     c = F.regexp_replace(c, r"\([^)]*(\)|$)", "")
-    c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), r"([.,!?:;…])", " $1 ")
-    c = F.regexp_replace(F.replace(c, F.lit(""), F.lit(",")), " {2,}", " ")
-    # nothing stands before a mark at the very start
-    return F.regexp_replace(c, r"^ (?=[.,!?:;…])", "")
+    c = F.replace(c, F.lit("\n"), F.lit("\ue000 "))  # a comma that takes no space before it
+    c = F.regexp_replace(F.regexp_replace(c, f"(?s)(?<=.)({marks})", " $1 "), f"^({marks})(?! )", "$1 ")
+    return F.regexp_replace(F.replace(c, F.lit("\ue000"), F.lit(",")), " {2,}", " ")
 
 
 def speech_tokens(ipa: Column) -> Column:
@@ -211,7 +216,7 @@ def speech_tokens(ipa: Column) -> Column:
 def chunks(ipa: Column, limit: int = 200) -> Column:
     """PP3: pieces of whole clauses, at most ``limit`` characters unless one clause is longer."""
     whole = F.trim(ipa)
-    clauses = F.filter(F.transform(F.regexp_extract_all(whole, F.lit("[^.!?…]*[.!?…]|[^.!?…]+"), F.lit(0)), F.trim), lambda p: p != "")
+    clauses = F.filter(F.transform(F.regexp_extract_all(whole, F.lit("[^.!?…]*[.!?…]|[^.!?…]+"), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def take(acc: Column, p: Column) -> Column:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-_ONES = "zero um dois três quatro|cinco seis sete oito nove".replace("|", " ").split()
-_TEENS = "dez onze doze treze quatorze|quinze dezesseis dezessete dezoito dezenove".replace("|", " ").split()
-_TENS = dict(zip(range(2, 10), "vinte trinta quarenta cinquenta|sessenta setenta oitenta noventa".replace("|", " ").split(), strict=True))
-_HUNDREDS = dict(zip(range(1, 10), "cento duzentos trezentos quatrocentos|quinhentos seiscentos setecentos oitocentos novecentos".replace("|", " ").split(), strict=True))
+# The names of numbers and letters. The 500th stands as it does in the tables that results are
+# held against; ``strict_compat=False`` mends it.
+_ONES = ["zero", "um", "dois", "três", "quatro", "cinco", "seis", "sete", "oito", "nove"]
+_TEENS = ["dez", "onze", "doze", "treze", "quatorze", "quinze", "dezesseis", "dezessete", "dezoito", "dezenove"]
+_TENS = {2: "vinte", 3: "trinta", 4: "quarenta", 5: "cinquenta", 6: "sessenta", 7: "setenta", 8: "oitenta", 9: "noventa"}
+_HUNDREDS = {1: "cento", 2: "duzentos", 3: "trezentos", 4: "quatrocentos", 5: "quinhentos", 6: "seiscentos", 7: "setecentos", 8: "oitocentos", 9: "novecentos"}
 _SCALE = {2: ("milhão", "milhões"), 3: ("bilhão", "bilhões"), 4: ("trilhão", "trilhões"), 5: ("quatrilhão", "quatrilhões")}
 _NTH = (
-    dict(zip(range(1, 10), "primeiro segundo terceiro quarto|quinto sexto sétimo oitavo nono".replace("|", " ").split(), strict=True)),
-    dict(zip(range(1, 10), (r + "gésimo" if r[-1] != "d" else r + "écimo" for r in "d vi tri quadra|quinqua sexa septua octo nona".replace("|", " ").split()), strict=True)),
-    # the table of the original has 50th in the place of 500th; ``strict_compat=False`` mends it
-    dict(zip(range(1, 10), "centésimo ducentésimo trecentésimo quadringentésimo|quinquagésimo seiscentésimo septingentésimo octingentésimo noningentésimo".replace("|", " ").split(), strict=True)),
+    {1: "primeiro", 2: "segundo", 3: "terceiro", 4: "quarto", 5: "quinto", 6: "sexto", 7: "sétimo", 8: "oitavo", 9: "nono"},
+    {1: "décimo", 2: "vigésimo", 3: "trigésimo", 4: "quadragésimo", 5: "quinquagésimo", 6: "sexagésimo", 7: "septuagésimo", 8: "octogésimo", 9: "nonagésimo"},
+    {1: "centésimo", 2: "ducentésimo", 3: "trecentésimo", 4: "quadringentésimo", 5: "quinquagésimo", 6: "seiscentésimo", 7: "septingentésimo", 8: "octingentésimo", 9: "noningentésimo"},
 )
-LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "á bê cê dê é éfe gê|agá i jota cá éle ême|êne ó pê quê érre ésse|tê u vê dábliu xis ípsilon zê".replace("|", " ").split(), strict=True))
+LETTERS = {
+    "a": "á", "b": "bê", "c": "cê", "d": "dê", "e": "é", "f": "éfe", "g": "gê", "h": "agá", "i": "i", "j": "jota", "k": "cá", "l": "éle", "m": "ême",
+    "n": "êne", "o": "ó", "p": "pê", "q": "quê", "r": "érre", "s": "ésse", "t": "tê", "u": "u", "v": "vê", "w": "dábliu", "x": "xis", "y": "ípsilon", "z": "zê",
+}
 
 
 def below_thousand(n: int, feminine: bool = False) -> str:
