@@ -48,7 +48,8 @@ PIVOTS, ROUNDS = 3, 2
 SENT_IDS = 400_000
 #: Pairs that one group of rows verifies at most, about.
 STAR = 512
-NO_ID = -(2**63)
+#: Stands for a null id; the greatest, so that a class is named after it only if it has no other id.
+NO_ID = 2**63 - 1
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
