@@ -10,12 +10,12 @@ stops at the largest value among the document's slots, beyond which no point can
 
 Equal texts are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` slots share a bucket. In
 a bucket every node is compared with two pivots: the least id, and the node that shares most with others
-(of copies of one text with changes, that text). A further round draws
-``PIVOTS`` nodes per bucket, those still without a link first, and compares them with all nodes of other
-classes in it; rounds end when one joins no classes, or after ``ROUNDS``. No bucket is capped and none is
-expanded into pairs. A link of similarity 0.8 stands in nine buckets on average and so meets many draws;
-what escapes is a text that lies under 0.8 from its group's centre and from all nodes drawn, but over it
-from another (the README has a measured figure). Pairs of which too few slots agree (``LEAST_SLOTS``,
+(of copies of one text with changes, that text). Then rounds draw pivots, those still without a link first
+and ``GROWTH`` times as many per bucket each round, and compare them with all nodes of other classes in the
+bucket. A pivot has then met all its bucket and leaves it; rounds end when no bucket holds two classes. So
+every pair that shares a bucket is compared, or its classes are already joined; no bucket is capped, and
+one whose nodes are of one class is never expanded into pairs.
+Pairs of which too few slots agree (``LEAST_SLOTS``,
 nearly five standard deviations below the threshold) are left out; the others are verified on the
 whole texts by the exact weighted Jaccard similarity. Verified links are joined into classes.
 
@@ -42,8 +42,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 LEAST_SLOTS = 0.64
-#: Pivots drawn per bucket in each round after the first.
-PIVOTS, ROUNDS = 3, 2
+#: Pivots drawn per bucket, about, in the first round of draws, and how many times as many in each further one.
+PIVOTS, GROWTH = 4, 8
 #: Ids that are broadcast at most (8 bytes each); beyond, tables are joined by exchange.
 SENT_IDS = 400_000
 #: Pairs that one group of rows verifies at most, about.
@@ -187,21 +187,36 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _candidates(buckets: DataFrame, links: DataFrame | None, drawn: int) -> DataFrame:
-    """Distinct pairs (pivot a, member b) of different classes that share a bucket; ``drawn`` is 0 for the least id as pivot."""
-    if links is None:
-        shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        share = buckets.join(shared, "key").groupBy("id").agg(F.sum("n").alias("n"))
-        two = buckets.join(share, "id").groupBy("key").agg(F.array(F.min("id"), F.min(F.struct(-F.col("n"), "id"))["id"]).alias("pivots"))
-        pairs = buckets.join(two, "key").select("id", F.explode(F.array_distinct("pivots")).alias("a")).where("id <> a")
-        return pairs.select("a", F.col("id").alias("b")).distinct()
-    heads = links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct()
-    known = links.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(heads)
-    of = some_of(buckets, known, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"), F.col("class").isNotNull().alias("linked"))
-    draws = [F.min(F.struct("linked", F.xxhash64("id", F.lit(drawn * PIVOTS + j)).alias("order"), "id", "class")) for j in range(PIVOTS)]
-    pivots = of.groupBy("key").agg(F.array(*draws).alias("pivots"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "pivots")
-    pairs = of.join(pivots, "key").select("id", "class", F.explode(F.filter("pivots", lambda p: p["class"] != F.col("class"))).alias("p"))
-    return pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+def _first_pivots(buckets: DataFrame) -> DataFrame:
+    """``key, pivots``: the least id of each bucket and the node that shares most with others."""
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    share = buckets.join(shared, "key").groupBy("id").agg(F.sum("n").alias("n"))
+    return buckets.join(share, "id").groupBy("key").agg(F.array(F.min("id"), F.min(F.struct(-F.col("n"), "id"))["id"]).alias("pivots"))
+
+
+def _undecided(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``key, id, class, linked, n, lone`` of the buckets that hold nodes of two classes; ``lone`` of the ``n`` nodes have no link."""
+    of = buckets.select("key", "id", F.col("id").alias("class"), F.lit(False).alias("linked"))
+    if links is not None:
+        heads = links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct()
+        known = links.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(heads)
+        of = some_of(buckets, known, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"), F.col("class").isNotNull().alias("linked"))
+    two = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("lone"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    return of.join(two.select("key", "n", "lone"), "key")
+
+
+def _drawn(rows: DataFrame, most: int, turn: int) -> DataFrame:
+    """``rows`` with ``drawn``: about ``most`` nodes of a bucket, all if it has no more, those without a link first."""
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.col(n), F.lit(1))) < most
+    return rows.withColumn("drawn", F.when(F.col("n") <= most, True).when(F.col("lone") > 0, ~F.col("linked") & place("lone")).otherwise(place("n")))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (drawn pivot a, member b) of different classes that share a bucket."""
+    pivots = rows.where("drawn").groupBy("key").agg(F.collect_list(F.struct("id", "class")).alias("pivots"))
+    new = lambda p: (p["class"] != F.col("class")) & (~F.col("drawn") | (p["id"] < F.col("id")))
+    pairs = rows.join(pivots, "key").select("id", F.explode(F.filter("pivots", new)["id"]).alias("a"))
+    return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -215,14 +230,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     buckets = C.settle(banded.join(shared, "key", "left_semi"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     texts = C.settle(some_of(texts, buckets.select("id").distinct(), "id", "left_semi"))
-    links, drawn = None, 0
-    while drawn < ROUNDS:
-        pairs = C.settle(_agreeing(_candidates(buckets, links, drawn), nodes, LEAST_SLOTS))
-        new = C.settle(verified(pairs, texts, similar))
-        if new.isEmpty():
+    first = C.settle(_first_pivots(buckets))
+    met = buckets.join(first, "key")
+    pairs = met.select("id", F.explode(F.array_distinct("pivots")).alias("a")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    left = met.where(~F.array_contains("pivots", F.col("id"))).select("key", "id")
+    links, most, turn = None, PIVOTS, 0
+    while True:
+        new = C.settle(verified(C.settle(_agreeing(pairs, nodes, LEAST_SLOTS)), texts, similar))
+        if not new.isEmpty():
+            links = graph.components(new if links is None else links.unionByName(new))
+        rows = C.settle(_drawn(_undecided(left, links), most, turn))
+        if rows.isEmpty():
             break
-        links = graph.components(new if links is None else links.unionByName(new))
-        drawn += 1
+        pairs, left = _candidates(rows), rows.where(~F.col("drawn")).select("key", "id")
+        most, turn = most * GROWTH, turn + 1
     of = alike if links is None else alike.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left")
     of = of.select("d1", "d2", (F.col("id") if links is None else F.coalesce("class", "id")).alias("class_id"))
     return signed.join(of, ["d1", "d2"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))

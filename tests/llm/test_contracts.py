@@ -133,6 +133,25 @@ def test_near_duplicates(spark):
     assert len(apart) <= 0.005 * len(want), apart
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Pairs of near copies within a family whose other members are alike by less than the threshold."""
+    from fonotrama.llm import neardup as N
+
+    rng = np.random.default_rng(11)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)]
+    common, family = word(140), 150
+    texts = []
+    for _ in range(family):
+        own = word(22)
+        texts.append((" ".join(common + own), " ".join(common + own[:-16] + word(16))))
+    bags = [[N.shingles([t.encode()])[:2] for t in pair] for pair in texts[:20]]
+    assert all(N.similarity(a, b) >= 0.8 for a, b in bags)
+    assert all(0.6 < N.similarity(bags[i][x], bags[j][y]) < 0.8 for i in range(20) for j in range(i) for x in (0, 1) for y in (0, 1))
+    docs = [(i + family * x, texts[i][x]) for i in range(family) for x in (0, 1)]
+    got = {r["doc_id"]: r["class_id"] for r in rows(N.classes(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert [i for i, _ in docs if got[i] != i % family] == []
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
