@@ -8,8 +8,8 @@ lie close to a chosen one, against the vector's own distance (at most ``COPIES``
 
 A query searches the centroids by a best-first walk on their neighbour graph, held in each worker's
 memory, and reads the lists whose distance is within a ratio of the nearest one's. The ratio is the least
-that would have found ``CAUGHT`` of the true neighbours on the sample; at least ``FLOOR`` vectors are read. Data without clusters so read many
-lists. Lists are dealt into groups and these, by id, into blocks of about ``BLOCK`` vectors; a task holds
+that would have found ``CAUGHT`` of the true neighbours in the sample for queries drawn at random from rows of it that the
+centroids are not fitted on; at least ``FLOOR`` vectors are read. Data without clusters so read many lists. Lists are dealt into groups and these, by id, into blocks of about ``BLOCK`` vectors; a task holds
 one block as a matrix and streams the queries that ask for lists of the group past it. So a list of any
 size is split, and a list asked for by all queries needs no more memory.
 
@@ -38,6 +38,8 @@ from . import common as C
 FIT_ROWS, PER_LIST, MOST_LISTS = 20_000, 256, 4096
 COPIES, NEAR = 3, 1.1
 CAUGHT, FLOOR, BEAM = 0.97, 1024, 64
+#: Rows of the sample that the reading ratio is set from, at most; the centroids are not fitted on them.
+ASKING = 512
 BLOCK, LEAST_GROUPS = 4096, 16
 
 
@@ -106,8 +108,11 @@ def fit(rows: DataFrame, d: int, fit_rows: int = FIT_ROWS, per_list: int = PER_L
         held = rows.orderBy("id").limit(1).select("v").toArrow()
     norm = float(np.sqrt(norm))
     x = lifted(np.array(held.column("v").to_pylist(), float).reshape(-1, d), norm)
-    lists = int(min(MOST_LISTS, max(1, -(-n // per_list)), max(1, len(x) // 4)))
     rng = np.random.default_rng(7)
+    order = rng.permutation(len(x))
+    apart = order[: min(ASKING, len(x) // 5)]
+    every, x = x, x[np.sort(order[len(apart) :])]
+    lists = int(min(MOST_LISTS, max(1, -(-n // per_list)), max(1, len(x) // 4)))
     points = x[rng.choice(len(x), lists, replace=False)]
     price, fair = np.zeros(lists), len(x) / lists
     for _ in range(10):
@@ -121,16 +126,15 @@ def fit(rows: DataFrame, d: int, fit_rows: int = FIT_ROWS, per_list: int = PER_L
     near = distances(points, points)
     graph = near.argsort(1, kind="stable")[:, 1 : 1 + min(16, lists - 1)] if lists > 1 else np.zeros((1, 0), int)
     extra = rng.integers(0, lists, (lists, min(4, lists - 1)))  # long ways, so that the walk reaches every part
-    asking = x[: 256, :d] * (norm / np.maximum(np.sqrt((x[:256, :d] ** 2).sum(1)), 1e-300))[:, None]
+    asking = every[apart, :d] * (norm / np.maximum(np.sqrt((every[apart, :d] ** 2).sum(1)), 1e-300))[:, None]
     ratios = []
-    own, far = distances(x, points).argmin(1), distances(np.concatenate((asking, np.zeros((len(asking), 1))), axis=1), points)
-    for i, q in enumerate(asking):
-        s = x[:, :d] @ q
-        s[i] = -np.inf
-        top = np.argsort(-s, kind="stable")[: min(20, len(x) - 1)]
+    own, far = distances(every, points).argmin(1), distances(np.concatenate((asking, np.zeros((len(asking), 1))), axis=1), points)
+    for i, (row, q) in enumerate(zip(apart, asking, strict=True)):
+        s = every[:, :d] @ q
+        s[row] = -np.inf
+        top = np.argsort(-s, kind="stable")[: min(20, len(every) - 1)]
         ratios.append(far[i, own[top]] / max(far[i].min(), 1e-12))
-    every = np.concatenate(ratios)
-    ratio = float(np.quantile(every, CAUGHT)) if len(every) else float("inf")
+    ratio = float(np.quantile(np.concatenate(ratios), CAUGHT)) if ratios else float("inf")
     return Centroids(points, np.concatenate((graph, extra), axis=1), norm, ratio)
 
 

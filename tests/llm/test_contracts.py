@@ -228,6 +228,31 @@ def test_neighbours(spark):
     assert np.mean(found) >= 0.9, np.mean(found)
 
 
+def test_neighbours_in_pruned_lists(spark):
+    """Recall where lists are pruned: clusters follow the ids, the first is tight, and norms vary."""
+    from pyspark.sql import functions as F
+
+    from fonotrama.llm import ann
+
+    rng = np.random.default_rng(13)
+    clusters, per, d = 20, 1000, 24
+    centres = 0.5 * rng.normal(0, 1, (clusters, d))
+    centres[0] *= 2 * np.sqrt(d) / np.linalg.norm(centres[0])
+    spread = np.where(np.arange(clusters) == 0, 0.01, 1.0)
+    v = np.repeat(centres, per, axis=0) + np.repeat(spread, per)[:, None] * rng.normal(0, 1, (clusters * per, d))
+    v[per:] *= rng.uniform(0.5, 1, len(v) - per)[:, None]
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in rows(ann.search(df, lambda i: F.pmod(i, F.lit(20)) == 0)):
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = np.zeros(clusters)
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        found[q // per] += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20 / (per // 20)
+    assert found.mean() >= 0.9 and found.min() >= 0.8, found
+
+
 def test_secrets(spark):
     docs = rows(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
     got = {r["doc_id"]: r for r in rows(Q.op9_secret_scan(spark, MIDDLE))}
