@@ -66,6 +66,19 @@ def free_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     return found
 
 
+def parts_outside(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of all candidates outside base findings that are long enough to be candidates."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        for x, _, y in base:
+            if x < end and at < y:
+                found.append((at, x))
+                at = y
+        found.append((at, end))
+    return [(a, b) for a, b in found if b - a >= LEAST]
+
+
 def windows(text: str, a: int, b: int) -> list[str]:
     """The context and the candidate, or as many overlapping pieces as it needs, at fixed places of a window."""
     out, at = [], a
@@ -98,7 +111,9 @@ class CharNet:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = SURE
+    #: On the findings kept aside.
     recall: float = 0.0
+    precision: float = 0.0
 
     @classmethod
     def start(cls, rng: np.random.Generator, size: int = 8, filters: int = 16) -> CharNet:
@@ -172,9 +187,11 @@ class CharNet:
             if np.abs(move).max() < 1e-6:
                 break
         self.scale, self.shift = float(a), float(c)
-        p = np.sort(self.probability(x[y > 0]))
-        self.threshold = max(SURE, float(p[int((1 - RECALL) * len(p))]) if len(p) else SURE)
+        every = self.probability(x)
+        p = np.sort(every[y > 0])
+        self.threshold = float(p[int((1 - RECALL) * len(p))]) if len(p) else SURE
         self.recall = float((p >= self.threshold).mean()) if len(p) else 0.0
+        self.precision = float((y[every >= self.threshold] > 0).mean()) if (every >= self.threshold).any() else 0.0
 
 
 _HEX, _B64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -253,7 +270,7 @@ def spans_of(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]
     for i, t in enumerate(texts):
         base = base_spans(t)
         out.append(base)
-        for a, b in free_candidates(t, base):
+        for a, b in parts_outside(t, base):
             pieces = windows(t, a, b)
             asked += pieces
             where += [(i, a, b)] * len(pieces)

@@ -272,6 +272,25 @@ def test_secrets(spark):
     assert some > 5
 
 
+def test_secrets_threshold_and_parts():
+    from fonotrama.llm import secretscan as S
+
+    rng = np.random.default_rng(17)
+    net = S.CharNet.start(rng)
+    made = [S.made_up(rng, k, ["some", "plain", "words"]) for k in range(640)]
+    x, y = S.codes([S.windows(t, 0, len(t))[0] for t, _ in made]), np.array([s for _, s in made], float)
+    net.calibrate(x, y)  # an untrained network is unsure
+    found = net.probability(x) >= net.threshold
+    assert found[y > 0].mean() >= S.RECALL and net.recall == found[y > 0].mean() and net.precision == y[found].mean()
+    net.threshold = 0.0
+    rest, left, right = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "Zq9XvT4LmR8sWp2KyB", "Hn7GcD3JtF6xUz5QeVw"
+    text = f"a AKIA{'Q7' * 8}/{rest} b {left}{'0f' * 16}{right} c"
+    spans = S.spans_of([text], net)[0]
+    clean = S.redact_text(text, spans)
+    assert not any(k in clean for k in (rest, left, right)) and spans == sorted(spans)
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_language_model(spark, docs):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     tok = {d["doc_id"]: [*re.findall(r"[^\x20\x09-\x0d]+", lower(d["text"] or "")), None] for d in docs}
