@@ -29,8 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows; Spark bounds the bytes of a batch, this the rows that are objects at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,15 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = held.get() if held.isDefined() else f"file://{tempfile.gettempdir()}/fonotrama-shared"
         spark.sparkContext.setCheckpointDir(base) if not held.isDefined() else None
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def settle(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``group_bytes`` bounds the row groups of the files, for rows of a megabyte or so.
+    """
     path = shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    out = df.write.mode("overwrite")
+    (out.option("parquet.block.size", group_bytes) if group_bytes else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,12 +82,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with ``fn`` from a batch to a dict of columns in the order of ``schema``."""
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with ``fn`` from at most ``rows`` rows to a dict of columns in the order of ``schema``."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield to_batch(out, target)
 

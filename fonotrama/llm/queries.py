@@ -11,7 +11,6 @@ from . import common as C
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     docs = C.table(spark, sf_dir, "documents")
     held = C.is_fold("doc_id", 4, 2)
     profiles = langid.fit(docs.where(~held))
@@ -27,7 +26,6 @@ ODD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s
 
 
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     names = ("conv_id", "turn", "role", "text")
     odd = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(CAST({c} AS BIGINT), CAST({t} AS BIGINT), '{r}', '{x}')" for c, t, r, x in ODD_TURNS) + f" AS t({', '.join(names)})")
     turns = chat.rendered_turns(C.table(spark, sf_dir, "conversations").select(*names).unionByName(odd))
@@ -35,39 +33,32 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     return neardup.classes(C.table(spark, sf_dir, "documents"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     docs = C.table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark, 4096)
     return bpe.encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark, 4096)
     return ann.search(C.table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     docs = C.table(spark, sf_dir, "documents")
     return secretscan.scan(docs, secretscan.fit(docs))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
     return maxent.score(C.table(spark, sf_dir, "documents"), C.is_fold("doc_id", 5, 1))
 
 

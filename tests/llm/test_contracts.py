@@ -306,3 +306,87 @@ def test_language_model(spark, docs):
         if g["held_out"]:
             base, full = base + g["base_score"], full + g["score"]
     assert full > base
+
+
+def test_language_model_by_hand(spark):
+    """Scores of a small table, cut into chunks inside texts, against sums over digits and leaves written out."""
+    from pyspark.sql import functions as F
+
+    from fonotrama.llm import common as C
+    from fonotrama.llm import maxent as M
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcde"), 3)) for _ in range(60)]
+    texts = [" ".join(words[int(60 * x * x)] for x in rng.random(int(n))) for n in rng.integers(0, 400, 80)] + ["Aaa  unheard\tof", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = dict(spark.sparkContext.getConf().getAll()) | {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    held = C.is_fold("doc_id", 5, 1)
+    chunks, counted, model = M.fitted(df, held, "doc_id", "text")
+    assert before == before | {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    assert model.weights.any() and model.digits == 0 or len(model.leaves[15]) == 16**model.digits
+    got = {r["doc_id"]: r["score"] for r in rows(M.score(df, held))}
+    tok = [[*re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()), None] for t in texts]
+    seen = Counter(x for i, ts in enumerate(tok) if crc_mod(i, 5) != 1 for x in ts)
+    code_of = lambda x: int(M.END) if x is None else int(C.hash_words([x.encode()])[0][0])
+    head = [x for x, _ in sorted(seen.items(), key=lambda e: (-e[1], code_of(e[0]) - (code_of(e[0]) >> 63 << 64)))][: M.HEAD]
+    mass = sum(seen[x] for x in head[M.SINGLE :])
+    kind, run = {}, 0
+    for k, x in enumerate(head):
+        kind[x] = k if k < M.SINGLE else M.SINGLE + min(6, int(run / mass * 7))
+        run += seen[x] if k >= M.SINGLE else 0
+    word = lambda x: (1 << 64) - 1 & x
+
+    def mix(x):
+        x = word((x ^ x >> 30) * 0xBF58476D1CE4E5B9)
+        x = word((x ^ x >> 27) * 0x94D049BB133111EB)
+        return x ^ x >> 31
+
+    seeds = [int(x) for x in M._SEEDS]
+
+    def digits(x):
+        d = 0 if kind.get(x, 15) < M.SINGLE else min(M.HEAD_DIGITS, model.digits) if x in kind else model.digits
+        return [mix(code_of(x) ^ seeds[0]) >> 60 - 4 * j & 15 for j in range(d)]
+
+    leaf = lambda x: (kind.get(x, 15), *digits(x))
+    leaves: dict = {}
+    for x in seen:
+        leaves[leaf(x)] = leaves.get(leaf(x), 0) + seen[x] + 0.5
+    grid = [()]
+    for _ in range(model.digits):
+        grid = [(*g, j) for g in grid for j in range(16)]
+    for g in grid:
+        leaves[(15, *g)] = leaves.get((15, *g), 0) + 0.5
+    w, n_rows = model.weights.astype(float), len(model.weights)
+
+    def chance(x, back):
+        b = [code_of(back[-k]) if len(back) >= k else k for k in (1, 2, 3)]
+        out, path = 0.0, leaf(x)
+        for k, digit in enumerate(path):
+            z = np.array([np.log(sum(v for p, v in leaves.items() if p[: k + 1] == (*path[:k], j)) + 1e-9) for j in range(16)])
+            if k == 0:
+                f = [b[0] * seeds[0], b[0] * seeds[1] + b[1] * seeds[2], b[1] * seeds[3] + 7, b[2] * seeds[4] + 9]
+            else:
+                node = int(model.first_node[path[0], k - 1]) + sum(j << 4 * (k - 2 - i) for i, j in enumerate(path[1:k]))
+                mark = mix(word(node + seeds[6]))
+                f = [mark + b[0] * seeds[5], mark + b[1] * seeds[1]]
+            z += sum(w[mix(word(x)) & n_rows - 1] for x in f)
+            out += z[digit] - np.log(np.exp(z).sum())
+        return out + (np.log((seen[x] + 0.5) / leaves[path]) if path[0] >= M.SINGLE else 0.0)
+
+    for i in (0, 7, 33, 80, 81, 82):
+        want = sum(chance(x, tok[i][:k]) for k, x in enumerate(tok[i])) / np.log(10)
+        assert got[i] == pytest.approx(want, rel=2e-4, abs=1e-4), i
+    assert sum(np.exp(chance(x, tok[7][:2])) for x in seen) <= 1 + 1e-4
+    whole = {r["doc_id"]: r for r in rows(M.packed(df, held).select(F.explode("ids").alias("doc_id")))}
+    cut = M.packed(df.coalesce(1), held, size=300)
+    assert cut.count() > 40 and set(whole) == {r["i"] for r in rows(cut.select(F.explode("ids").alias("i")))}
+    heard: dict = {}
+    for r in sorted(rows(cut), key=lambda r: r["chunk"]):
+        r, h, at, sizes = M.read(r)
+        hs, lo = h[at][r["skip"] :].tolist(), 0
+        if r["skip"]:
+            assert heard[r["ids"][0]][-r["skip"] :] == h[at][: r["skip"]].tolist()
+        for i, n in zip(r["ids"], [sizes[0] - r["skip"], *sizes[1:]], strict=True):
+            heard.setdefault(i, []).extend(hs[lo : lo + n])
+            lo += n
+    assert heard == {i: [code_of(x) for x in ts] for i, ts in enumerate(tok)}
