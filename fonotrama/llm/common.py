@@ -63,15 +63,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session beside ``spark``, on the same cluster and with its settings but for these; the given one stays as it is."""
+    own = spark.newSession()
+    for k, v in {**spark.conf.getAll, **settings}.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
+def settle(df: DataFrame, group_bytes: int | None = None, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``group_bytes`` bounds the row groups of the files, for rows of a megabyte or so.
+    ``group_bytes`` bounds the row groups of the files, for rows of a megabyte or so; ``spark`` reads it if given.
     """
     path = shared_dir(df.sparkSession)
     out = df.write.mode("overwrite")
     (out.option("parquet.block.size", group_bytes) if group_bytes else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -11,7 +11,7 @@ of all known tokens and those places sum to one at most, whatever the context (a
 
 Every softmax starts from the masses of its choices, so that without any feature the chances are those of counts,
 and has hashed features: of the class, the word before, the two before (n-grams), the one before the last and the
-third last (skips); of a further digit, its node in the tree with the word before, and with the one before that.
+third last (skips); of a further digit, its node in the tree with the word before.
 Rows of weights grow with the vocabulary up to ``MOST_ROWS`` (16 MB), beyond which features collide.
 
 Counting and scoring cover all tokens. A first pass packs texts into chunks of about ``CHUNK`` bytes, cutting
@@ -48,7 +48,7 @@ SINGLE, HEAD = 8, 4096
 #: Digits after the class, at most: of the head's bands, of all other tokens.
 HEAD_DIGITS, MOST_DIGITS = 2, 4
 LEAST_ROWS, MOST_ROWS, BLOCK_ROWS = 1 << 12, 1 << 18, 1 << 11
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.1
+ROUNDS, BATCH, RATE, START_SQUARE = 2, 1 << 15, 0.1, 0.25
 CONTEXT = 3
 #: Bytes of text in a chunk, about, and rows of a file of chunks.
 CHUNK, GROUP_BYTES = 1 << 20, 16 << 20
@@ -274,7 +274,7 @@ def examples(back: list[np.ndarray], classes: np.ndarray, hashes: np.ndarray, mo
         first = [back[0] * _SEEDS[0], back[0] * _SEEDS[1] + back[1] * _SEEDS[2], back[1] * _SEEDS[3] + np.uint64(7), back[2] * _SEEDS[4] + np.uint64(9)]
         out: list = [(None, np.zeros(len(classes), np.int64), np.stack([at(x) for x in first]), classes)]
         depth = model.depth(classes)
-        before, second = back[0] * _SEEDS[5], back[1] * _SEEDS[1]
+        before = back[0] * _SEEDS[5]
         paths = {d: path_of(hashes, d) for d in np.unique(depth).tolist() if d}
         for k in range(max(paths, default=0)):
             on = np.flatnonzero(depth > k)
@@ -285,7 +285,7 @@ def examples(back: list[np.ndarray], classes: np.ndarray, hashes: np.ndarray, mo
                     path[these] = p[on[these]] >> BITS * (d - k - 1)
             node = model.first_node[classes[on], k] + (path >> BITS)
             mark = C.mix64(node.astype(np.uint64) + _SEEDS[6])
-            out.append((on, node, np.stack([at(mark + before[on]), at(mark + second[on])]), path & (WAYS - 1)))
+            out.append((on, node, at(mark + before[on])[None], path & (WAYS - 1)))
     return out
 
 
@@ -304,7 +304,7 @@ def log_softmax(model: Model, w: np.ndarray, node: np.ndarray, f: np.ndarray) ->
 
 
 def learn(model: Model, w: np.ndarray, square: np.ndarray, parts: list[tuple]) -> None:
-    """One adaptive gradient step over the examples of a mini-batch, in place."""
+    """One gradient step over the examples of a mini-batch, in place, its rate adapted to each row."""
     for _, node, f, y in parts:
         if not f.shape[1]:
             continue
@@ -315,9 +315,9 @@ def learn(model: Model, w: np.ndarray, square: np.ndarray, parts: list[tuple]) -
         rows = flat[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         sums, rows = np.add.reduceat(g.take(order % f.shape[1], 0), first, axis=0), rows[first]
-        held = square.take(rows, 0) + sums * sums
-        square[rows] = held
-        w[rows] = w.take(rows, 0) - RATE * sums / np.sqrt(held)
+        square[rows] += (sums * sums) @ np.full(WAYS, 1 / WAYS, np.float32)
+        sums *= (RATE / np.sqrt(square.take(rows)))[:, None]
+        w[rows] = w.take(rows, 0) - sums
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -344,7 +344,7 @@ def train(chunks: DataFrame, model: Model, tasks: int, rounds: int = ROUNDS) ->
         part = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == share).select("held", "sizes", "skip", "at", "hashes").coalesce(tasks)
 
         def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
-            own, square, seen = w.copy(), np.full(w.shape, 1.0, np.float32), 0
+            own, square, seen = w.copy(), np.full(len(w), START_SQUARE, np.float32), 0
             for r, h, at, sizes in _pieces(batches):
                 on = np.repeat(~np.array(r["held"], bool), sizes)
                 on[: r["skip"]] = False
@@ -390,8 +390,8 @@ def chance(model: Model, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, count
 
 def fitted(docs: DataFrame, held_out, id_col: str, text: str) -> tuple[DataFrame, DataFrame, Model]:
     """The settled chunks, the settled counts, and the trained model."""
-    spark = docs.sparkSession
-    chunks = C.settle(packed(docs, held_out, id_col, text), GROUP_BYTES)
+    spark = C.own_session(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "8"})
+    chunks = C.settle(packed(docs, held_out, id_col, text), GROUP_BYTES, spark)
     entries, size = chunks.agg(F.sum(F.octet_length("hashes")) / 8, F.sum(F.octet_length("at"))).first()
     entries, size = int(entries or 0), int(size or 0)
     digits = next(d for d in range(MOST_DIGITS, -1, -1) if WAYS**d <= max(1, entries // 64))

@@ -368,7 +368,7 @@ def test_language_model_by_hand(spark):
             else:
                 node = int(model.first_node[path[0], k - 1]) + sum(j << 4 * (k - 2 - i) for i, j in enumerate(path[1:k]))
                 mark = mix(word(node + seeds[6]))
-                f = [mark + b[0] * seeds[5], mark + b[1] * seeds[1]]
+                f = [mark + b[0] * seeds[5]]
             z += sum(w[mix(word(x)) & n_rows - 1] for x in f)
             out += z[digit] - np.log(np.exp(z).sum())
         return out + (np.log((seen[x] + 0.5) / leaves[path]) if path[0] >= M.SINGLE else 0.0)
