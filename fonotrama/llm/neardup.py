@@ -8,32 +8,37 @@ counts for a document if that place lies below the shingle's weight. A slot keep
 documents agree in a slot with exactly the probability of their weighted Jaccard similarity. A process
 stops at the largest value among the document's slots, beyond which no point can count.
 
-Equal texts are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` slots share a bucket. In
-a bucket every node is compared with two pivots: the least id, and the node that shares most with others
-(of copies of one text with changes, that text). Then rounds draw pivots, those still without a link first
-and ``GROWTH`` times as many per bucket each round, and compare them with all nodes of other classes in the
-bucket. A pivot has then met all its bucket and leaves it; rounds end when no bucket holds two classes. So
-every pair that shares a bucket is compared, or its classes are already joined; no bucket is capped, and
-one whose nodes are of one class is never expanded into pairs.
-Pairs of which too few slots agree (``LEAST_SLOTS``,
-nearly five standard deviations below the threshold) are left out; the others are verified on the
-whole texts by the exact weighted Jaccard similarity. Verified links are joined into classes.
+Equal texts (by a 128-bit digest) are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` slots share
+a bucket. In a bucket every node is compared with two pivots: the least node, and the node that shares most with
+others (of copies of one text with changes, that text). Nodes of buckets that then still hold two classes are
+searched exactly, by prefixes: the elements of their bags (a shingle and its how-manieth occurrence) are ordered by
+how many of these nodes hold them, and two bags can only be similar enough if they share an element among the rarest
+fifth, at places that leave room for the overlap that the similarity needs; for the shorter bag that is among its
+rarest ninth (it is then open to others). So members of a family that are alike
+by less than the threshold, whose rarest elements are their own, never meet. Nodes that do share such an element
+form new buckets; rounds draw pivots among the open ones, those still without a link first and ``GROWTH`` times as
+many per bucket each round, and compare them with all nodes of other classes in the bucket. A pivot has then met all
+its bucket and leaves it; rounds end when no bucket with an open node holds two classes. No bucket is capped, and one whose nodes
+are of one class is never expanded into pairs.
+Pairs of which too few slots agree (``LEAST_SLOTS``, nearly five standard deviations below the threshold) are left
+out; the others are verified on the whole texts by the exact weighted Jaccard similarity. Verified links are joined
+into classes.
 
 Defined results: a null text is empty; texts without words are alike only if equal; a text of one to four
-words has one shingle, all of them; a null id counts as one id of its own and its class is null if it has
-no other id; rows that share an id are one document; repeated rows get the same class; an empty table
+words has one shingle, all of them; a class is named after its least id, and by null if none of its rows has one;
+rows that share an id but not the text are classified by their texts; repeated rows get the same class; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 from . import graph
@@ -43,13 +48,14 @@ BANDS, ROWS = 28, 5
 SLOTS = BANDS * ROWS
 LEAST_SLOTS = 0.64
 #: Pivots drawn per bucket, about, in the first round of draws, and how many times as many in each further one.
-PIVOTS, GROWTH = 4, 8
+PIVOTS, GROWTH = 16, 8
 #: Ids that are broadcast at most (8 bytes each); beyond, tables are joined by exchange.
 SENT_IDS = 400_000
 #: Pairs that one group of rows verifies at most, about.
 STAR = 512
 #: Stands for a null id; the greatest, so that a class is named after it only if it has no other id.
 NO_ID = 2**63 - 1
+_KEYS = ("__id", "__digest")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -119,21 +125,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / most if most else 1.0
 
 
-def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, d1, d2`` (a digest of the text) and ``codes``: 16 bits of each slot, null without words."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, d, text``: the digest of the text as 16 bytes; a null text is empty."""
+    held = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.md5(held.cast("binary"))).alias("d"), held.alias("text"))
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """``id, d`` and ``codes``: 16 bits of each slot, null without words."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [t.encode() for t in C.texts_of(batch)]
-        digests = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), "<i8").reshape(-1, 2)
         codes: list[bytes | None] = []
         for lo, hi in C.chunks_of(texts, 4 << 20):
             elements, weights, per = shingles([t.lower() for t in texts[lo:hi]])
             sig = C.mix64(bag_min_hash(elements, weights, per).view(np.uint64)).astype(np.uint16)
             codes += [s.tobytes() if n else None for s, n in zip(sig, per.tolist(), strict=True)]
-        return {"id": batch.column("id"), "d1": digests[:, 0], "d2": digests[:, 1], "codes": codes}
+        return {"id": batch.column("id"), "d": batch.column("d"), "codes": codes}
 
-    return C.map_rows(rows, run, "id long, d1 long, d2 long, codes binary")
+    return C.map_rows(rows, run, "id long, d binary, codes binary")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -149,7 +159,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return C.map_rows(rows, run, "a long, b long")
 
 
-def some_of(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def some_of(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """``df`` joined with a table of ids by ``how``; these are broadcast only if counted as few."""
     few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
     return df.join(F.broadcast(ids) if few else ids, key, how)
@@ -158,13 +168,13 @@ def some_of(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of pairs (a, b), those whose bags are similar. ``texts``: id, text.
 
-    The members b of a pivot a are dealt into as many groups as keep each under about ``STAR``, with a copy of the
+    The members b of a pivot a are dealt into as many groups as keep each at about ``STAR``, with a copy of the
     pivot's text in each; sorted, a group is read as a stream: first the pivot, then its members.
     """
     n = pairs.count()
-    parts = -(-n // STAR) or 1
     sent = F.broadcast if n <= SENT_IDS // 4 else lambda df: df  # 24 bytes each
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("groups"))
+    dealt = pairs.join(sent(groups), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
     members = texts.select(F.col("id").alias("b"), "text").join(sent(dealt), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
     pivots = texts.select(F.col("id").alias("a"), "text").join(sent(dealt.select("a", "part").distinct()), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     rows = pivots.unionByName(members).repartition(C.partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "b", "text")
@@ -195,68 +205,112 @@ def _first_pivots(buckets: DataFrame) -> DataFrame:
 
 
 def _undecided(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``key, id, class, linked, n, lone`` of the buckets that hold nodes of two classes; ``lone`` of the ``n`` nodes have no link."""
-    of = buckets.select("key", "id", F.col("id").alias("class"), F.lit(False).alias("linked"))
+    """``buckets`` that hold nodes of two classes and an open one, with ``class, linked, n, lone``; ``lone`` of the ``n`` open nodes have no link."""
+    of = buckets.withColumns({"class": F.col("id"), "linked": F.lit(False)})
     if links is not None:
-        heads = links.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct()
-        known = links.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(heads)
-        of = some_of(buckets, known, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"), F.col("class").isNotNull().alias("linked"))
-    two = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("lone"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+        heads = links.select(F.col("v").alias("id"), F.col("v").alias("head")).distinct()
+        known = links.select(F.col("u").alias("id"), F.col("v").alias("head")).unionByName(heads)
+        of = some_of(buckets, known, "id", "left").withColumns({"class": F.coalesce("head", "id"), "linked": F.col("head").isNotNull()}).drop("head")
+    two = of.groupBy("key").agg(F.count_if("open").alias("n"), F.count_if(F.col("open") & ~F.col("linked")).alias("lone"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high AND n > 0")
     return of.join(two.select("key", "n", "lone"), "key")
 
 
+def _prefixes(texts: DataFrame, similar: float) -> DataFrame:
+    """``key, id, size, place, open``: the elements in the prefix of each bag that other bags hold, too."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bags = [shingles([t.encode().lower()])[:2] for t in C.texts_of(batch)]
+        with np.errstate(over="ignore"):
+            nth = [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for _, n in bags]
+            elements = [C.mix64(np.repeat(e, n) + k.astype(np.uint64) * _MULT[6]).view(np.int64) for (e, n), k in zip(bags, nth, strict=True)]
+        return {"id": batch.column("id"), "size": [len(e) for e in elements], "elements": elements}
+
+    bags = C.settle(C.map_rows(texts, run, "id long, size int, elements array<long>", 256))
+    held = bags.select("id", "size", F.explode("elements").alias("key"))
+    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    shared = held.join(common, "key")
+    order = Window.partitionBy("id").orderBy("nodes", "key")  # of one bag
+    placed = shared.withColumn("place", F.row_number().over(order) - 1 + F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id")))
+    prefix = placed.where(F.col("place") <= F.col("size") * (1 - similar) + 1e-6)
+    return C.settle(prefix.select("key", "id", "size", F.col("place").cast("int").alias("place"), (F.col("place") <= F.col("size") * (1 - similar) / (1 + similar) + 1e-6).alias("open")))
+
+
 def _drawn(rows: DataFrame, most: int, turn: int) -> DataFrame:
-    """``rows`` with ``drawn``: about ``most`` nodes of a bucket, all if it has no more, those without a link first."""
+    """``rows`` with ``drawn``: about ``most`` open nodes of a bucket, all if it has no more, those without a link first."""
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.col(n), F.lit(1))) < most
-    return rows.withColumn("drawn", F.when(F.col("n") <= most, True).when(F.col("lone") > 0, ~F.col("linked") & place("lone")).otherwise(place("n")))
+    return rows.withColumn("drawn", F.when(~F.col("open"), False).when(F.col("n") <= most, True).when(F.col("lone") > 0, ~F.col("linked") & place("lone")).otherwise(place("n")))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (drawn pivot a, member b) of different classes that share a bucket."""
-    pivots = rows.where("drawn").groupBy("key").agg(F.collect_list(F.struct("id", "class")).alias("pivots"))
-    new = lambda p: (p["class"] != F.col("class")) & (~F.col("drawn") | (p["id"] < F.col("id")))
+def _candidates(rows: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (drawn pivot a, member b) of different classes that share a bucket at places that leave room for the overlap."""
+    pivots = rows.where("drawn").groupBy("key").agg(F.collect_list(F.struct("id", "class", "size", "place")).alias("pivots"))
+    room = lambda p: F.least(p["size"] - p["place"], F.col("size") - F.col("place")) >= (p["size"] + F.col("size")) * (similar / (1 + similar)) - 1e-6
+    new = lambda p: (p["class"] != F.col("class")) & (~F.col("drawn") | (p["id"] < F.col("id"))) & room(p)
     pairs = rows.join(pivots, "key").select("id", F.explode(F.filter("pivots", new)["id"]).alias("a"))
     return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id`` per row: the least id among all documents that chains of similar ones connect."""
-    signed = C.settle(signatures(docs, id_col, text))
-    alike = C.settle(signed.groupBy("d1", "d2").agg(F.min("id").alias("id")))
-    nodes = C.settle(signed.where("codes IS NOT NULL").join(alike, ["id", "d1", "d2"], "left_semi").select("id", "codes").distinct())
+def _links(rows: DataFrame, signed: DataFrame, alike: DataFrame, similar: float) -> DataFrame | None:
+    """``u, v``: the nodes that are joined to another one, and the least node of their class; None if there are none."""
+    nodes = C.settle(signed.where("codes IS NOT NULL").join(alike.select("d", F.col("least").alias("id"), F.col("id").alias("node")), ["d", "id"]).select(F.col("node").alias("id"), "codes").dropDuplicates(["id"]))
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring(F.col("codes"), 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
     banded = nodes.select("id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     buckets = C.settle(banded.join(shared, "key", "left_semi"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    texts = C.settle(some_of(texts, buckets.select("id").distinct(), "id", "left_semi"))
+    wanted = alike.join(buckets.select("id").distinct(), "id", "left_semi").select("d", F.col("least").alias("id"), F.col("id").alias("node"))
+    texts = C.settle(some_of(rows, wanted, ["d", "id"], "inner").select(F.col("node").alias("id"), "text"))
+    check = lambda pairs: C.settle(verified(C.settle(_agreeing(pairs, nodes, LEAST_SLOTS)), texts, similar))
     first = C.settle(_first_pivots(buckets))
     met = buckets.join(first, "key")
-    pairs = met.select("id", F.explode(F.array_distinct("pivots")).alias("a")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    left = met.where(~F.array_contains("pivots", F.col("id"))).select("key", "id")
-    links, most, turn = None, PIVOTS, 0
+    found = check(met.select("id", F.explode(F.array_distinct("pivots")).alias("a")).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    links = None if found.isEmpty() else graph.components(found)
+    left = C.settle(_undecided(met.where(~F.array_contains("pivots", F.col("id"))).select("key", "id", F.lit(True).alias("open")), links).select("id").distinct())
+    if left.isEmpty():
+        return links
+    buckets, most, turn = _prefixes(some_of(texts, left, "id", "left_semi"), similar), PIVOTS, 0
     while True:
-        new = C.settle(verified(C.settle(_agreeing(pairs, nodes, LEAST_SLOTS)), texts, similar))
-        if not new.isEmpty():
-            links = graph.components(new if links is None else links.unionByName(new))
-        rows = C.settle(_drawn(_undecided(left, links), most, turn))
-        if rows.isEmpty():
-            break
-        pairs, left = _candidates(rows), rows.where(~F.col("drawn")).select("key", "id")
-        most, turn = most * GROWTH, turn + 1
-    of = alike if links is None else alike.join(links.select(F.col("u").alias("id"), F.col("v").alias("class")), "id", "left")
-    of = of.select("d1", "d2", (F.col("id") if links is None else F.coalesce("class", "id")).alias("class_id"))
-    return signed.join(of, ["d1", "d2"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the document of the least id of each class only; a row without an id stays."""
-    found = C.settle(classes(docs, id_col, text))
-    rest = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = some_of(docs, rest, id_col, "left_anti").select(*docs.columns)
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+        drawn = C.settle(_drawn(_undecided(buckets, links), most, turn))
+        if drawn.isEmpty():
+            return links
+        found = check(_candidates(drawn, similar))
+        if not found.isEmpty():
+            links = graph.components(found if links is None else links.unionByName(found))
+        buckets, most, turn = drawn.where(~F.col("drawn")).select("key", "id", "size", "place", "open"), most * GROWTH, turn + 1
+
+
+def _classified(docs: DataFrame, id_col: str, text: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """``id, d`` of every row, and ``d, least, v, class`` of every text: the least id of its rows, its class's node, and the least id there."""
+    rows = keyed(docs, id_col, text)
+    signed = C.settle(signatures(rows))
+    alike = C.settle(signed.groupBy("d").agg(F.min("id").alias("least")).withColumn("id", F.monotonically_increasing_id()))  # settled, so a node keeps its number
+    links = _links(rows, signed, alike, similar)
+    if links is None:
+        return signed.select("id", "d"), alike.select("d", "least", F.col("id").alias("v"), F.col("least").alias("class"))
+    of = alike.join(links.select(F.col("u").alias("id"), "v"), "id", "left").select("d", "least", F.coalesce("v", "id").alias("v"))
+    joined = links.select("v").distinct()
+    names = some_of(of, joined, "v", "left_semi").groupBy("v").agg(F.min("least").alias("class"))
+    return signed.select("id", "d"), some_of(of, names, "v", "left").select("d", "least", "v", F.coalesce("class", "least").alias("class"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, class_id`` per row: the least id among all documents that chains of similar ones connect."""
+    rows, of = _classified(docs, id_col, text, similar)
+    return rows.join(of, "d").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class", F.lit(NO_ID)).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each class only: of the least id, then of the least digest."""
+    rows, of = _classified(docs, id_col, text, similar)
+    rows, of = C.settle(rows), C.settle(of)
+    many = of.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "d")).alias("first")).where("n > 1")
+    others = some_of(of, many.select("v", "first"), "v", "inner").where(F.col("first.d") != F.col("d")).select("d")
+    held = docs.withColumns({_KEYS[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), _KEYS[1]: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))})
+    named = lambda df: df.select(*[F.col(c).alias(k) for c, k in zip(("id", "d"), _KEYS, strict=True) if c in df.columns])
+    kept = some_of(held, named(C.settle(others)), [_KEYS[1]], "left_anti")
+    copies = rows.join(of.select("d", "least"), "d").where("id <> least").select("id", "d").distinct()
+    kept = some_of(kept, named(C.settle(copies)), list(_KEYS), "left_anti")
+    again = C.settle(rows.groupBy("id", "d").count().where("count > 1").select("id", "d"))
     if again.isEmpty():
-        return kept
-    again = C.settle(again)
-    once = some_of(kept, again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return some_of(kept, again, id_col, "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select(*docs.columns)
+    once = some_of(kept, named(again), list(_KEYS), "left_semi").dropDuplicates(list(_KEYS))
+    return some_of(kept, named(again), list(_KEYS), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -105,12 +105,13 @@ def test_stages(spark, docs, empty):
     plain = docs.drop(*CLASH)
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
         out = stage(spark, plain, "")
         assert out.columns == plain.columns
         kept[name] = [r["doc_id"] for r in out.collect()]
         assert stage(spark, empty, "").collect() == []
     assert {3, 4, 5, 8}.isdisjoint(kept["language ID"]) and {1, 2, 7} <= set(kept["language ID"])
-    assert kept["MinHash near-dedup"].count(1) == 1 and 2 not in kept["MinHash near-dedup"] and kept["MinHash near-dedup"].count(None) == 2
+    assert kept["MinHash near-dedup"].count(1) == 1 and 2 not in kept["MinHash near-dedup"] and kept["MinHash near-dedup"].count(None) == 1 and 3 in kept["MinHash near-dedup"] and 4 not in kept["MinHash near-dedup"]
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, plain, "").collect()}
     assert "hunter2" not in clean[10] and "AKIA" not in clean[10] and clean[3] is None and clean[1] == PROSE * 3
     assert corpus_pipeline.best_fit_packing(spark, empty, "").collect() == []
@@ -120,3 +121,28 @@ def test_pipeline(spark, sf_dir):
     want = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in rows} <= want and len({r["doc_id"] for r in rows}) > 0.5 * len(want)
+
+
+def test_near_duplicates_without_ids(spark):
+    """Texts, not ids, are classified: unlike texts stay apart though they share an id or have none."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" for i in range(200)]
+    near = lambda w, i: " ".join([*w[:i], "odd", *w[i + 1 :]])
+    data = [(None, " ".join(words)), (None, near(words, 3)), (None, " ".join(other)), (7, near(other, 9)), (7, "a text of its own, quite unlike the one that has its id"), (9, near(words, 190)), (9, near(words, 190))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["class_id"]) for r in neardup.classes(df).collect())
+    assert got == [(-1, 7), (-1, 9), (-1, 9), (7, 7), (7, 7), (9, 9), (9, 9)]
+    assert sorted(r["text"] for r in neardup.one_of_each(df).collect()) == sorted((data[3][1], data[4][1], data[5][1]))
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    """A family alike by less than the threshold is not paired off; the near copies in it are found."""
+    rng = np.random.default_rng(5)
+    word = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)]
+    common, rows = word(140), []
+    for i in range(1400):
+        own = word(30)
+        rows += [(i, " ".join(common + own)), (i + 1400, " ".join(common + own[:-10] + word(10)))] if i % 7 == 0 else [(i, " ".join(common + own))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert got == {i: i % 1400 for i, _ in rows}
