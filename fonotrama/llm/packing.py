@@ -6,8 +6,8 @@ other piece goes where the squared counts of open sequences per residual gap sum
 open sequence of some gap, or a new one. Only the counts per gap matter, so placing a piece is one pass
 over an array of the capacity's length.
 
-Pieces are dealt into blocks of about ``BLOCK_DOCS`` documents by a hash of the id, and each block is
-packed by one task in bounded memory; the rule leaves a number of part-filled sequences per block that
+Pieces are dealt into blocks of about ``BLOCK_DOCS`` documents by a hash of the row, and each block is
+packed by one task in bounded memory (also where rows share an id or a text); the rule leaves a number of part-filled sequences per block that
 does not grow with the block, so the loss stays far below 1 % at any size.
 
 Defined results: a null text is empty and gives one piece, the end id; repeated rows are packed once
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     bins, offsets, made = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     far = np.iinfo(np.int64).max
     for k, s in enumerate(sizes.tolist()):
-        # half the change of the sum when a gap g becomes g - s; a full bin is no longer counted
-        cost = np.where(n[s:] > 0, n[: capacity + 1 - s] - n[s:] + 1, far)
+        # the change of the sum when a gap g becomes g - s; a full bin is no longer counted
+        cost = np.where(n[s:] > 0, 2 * (n[: capacity + 1 - s] - n[s:] + 1), far)
         if n[s] > 0:
-            cost[0] = -n[s]
+            cost[0] = 1 - 2 * n[s]
         best = int(cost.argmin())
-        if s < capacity and cost[best] <= n[capacity - s]:
+        if s < capacity and cost[best] <= 2 * n[capacity - s] + 1:
             gap = best + s
             b = held[gap].pop()
             n[gap] -= 1
@@ -90,23 +91,27 @@ _CODERS: dict[str, object] = {}
 
 
 def coder(path: str):
-    """The vocabulary of a tokenizers or a rank file, once per Python process; the ids are the same for either."""
+    """The function from a text to its ids by a tokenizers file, whose special strings count where they stand in a text, or by
+    a rank file, which has none; made once per Python process. Both give what their own libraries give."""
     if path not in _CODERS:
         import public_tokenizers
         import tiktoken
 
+        special = {}
         if path.endswith(".json"):
             import json
 
             with open(path, encoding="utf-8") as f:
-                model = json.load(f)["model"]
+                held = json.load(f)
+            model, special = held["model"], {t["content"]: t["id"] for t in held["added_tokens"]}
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-            ranks = {bytes(shown[c] for c in k): v for k, v in model["vocab"].items() if all(c in shown for c in k) and k != "<|endoftext|>"}
+            ranks = {bytes(shown[c] for c in k): v for k, v in model["vocab"].items() if all(c in shown for c in k) and k not in special}
         else:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _CODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        made = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        _CODERS[path] = partial(made.encode, allowed_special="all", disallowed_special=()) if special else made.encode_ordinary
     return _CODERS[path]
 
 
@@ -117,30 +122,30 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, if asked, ``ids``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, row`` (a number of the document's row) and, if asked, ``ids``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        encode = coder(path).encode_ordinary
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for i, t in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch), strict=True):
+        encode = coder(path)
+        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "row", "ids")}
+        for i, t, row in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch), batch.column("row").to_pylist(), strict=True):
             ids = np.array(encode(t), "<u4").tobytes() + end
             for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                 part = ids[4 * s : 4 * (s + n)]
-                for name, v in (("doc_id", i), ("piece", k), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(part))):
+                for name, v in (("doc_id", i), ("piece", k), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(part)), ("row", row)):
                     out[name].append(v)
                 if with_ids:
                     out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
         return out
 
-    return C.map_rows(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return C.map_rows(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``."""
     blocks = max(1, -(-n_docs // block_docs))
-    spread = F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(blocks)).cast("long")
+    spread = F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)).cast("long")  # rows of one id and text are dealt apart, too
 
     def run(key: tuple, tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, parts = int(key[0]) << 32, []
@@ -155,8 +160,8 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, block_docs: i
         bins, offsets = pack_sizes(rest["length"].to_numpy(np.int64), np.arange(len(rest)), capacity)
         yield rest.assign(sequence_id=base + bins, offset=offsets)[names]
 
-    names = [*pieces.columns, "sequence_id", "offset"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    names = [*[c for c in pieces.columns if c != "row"], "sequence_id", "offset"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "row") + ", sequence_id long, offset long"
     return pieces.withColumn("__block", spread).groupBy("__block").applyInPandas(run, ddl)
 
 
