@@ -91,7 +91,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     if not n:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), length)
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, fit_rows / v))])
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.where(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
