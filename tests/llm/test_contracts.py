@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 
+from fonotrama.llm import packing
 from fonotrama.llm import queries as Q
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -155,9 +156,15 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    odd = [(-1, "a <|endoftext|> b"), (-2, "<|endoftext|><|endoftext|>x<|endoftext| >")]
+    given = [(d["doc_id"], d["text"]) for d in docs] + odd
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    docs = [{"doc_id": i, "text": x} for i, x in given]
     ids = {d["doc_id"]: e.ids + [2] for d, e in zip(docs, t.encode_batch([d["text"] or "" for d in docs], add_special_tokens=False), strict=True)}
-    got = rows(Q.op5_best_fit_packing(spark, SMALL))
+    got = rows(packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")))
+    shown = lambda rs: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rs)
+    assert shown(r for r in got if r["doc_id"] >= 0) == shown(rows(Q.op5_best_fit_packing(spark, SMALL)))
+    assert ids[-1] == [64, 220, 50256, 275, 2]
     whole: dict[int, list] = {}
     for r in got:
         whole.setdefault(r["doc_id"], []).append(r)
@@ -188,7 +195,7 @@ def test_quality(spark):
     assert all(0 <= g["score"] <= 1 for g in got.values())
     kept_bad = [got[d]["keep"] for d, q in labels.items() if q == 0 and d in got]
     kept_good = [got[d]["keep"] for d, q in labels.items() if q == 1 and d in got]
-    assert np.mean(kept_good) > 0.97 and np.mean(kept_bad) < 0.4
+    assert np.mean(kept_good) > 0.99 and np.mean(kept_bad) < 0.05
 
 
 def test_byte_bpe(spark, docs):
@@ -290,6 +297,33 @@ def test_secrets_threshold_and_parts():
     assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_secrets_that_rules_miss(spark):
+    """Strings of formats that the fit has and has not seen, without a keyword, among plain long tokens of the same texts."""
+    from fonotrama.llm import secretscan as S
+
+    rng = np.random.default_rng(23)
+    docs = rows(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
+    net = S.fit(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
+    assert net.recall >= S.RECALL
+    draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    known = [lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: draw(alnum + "+/", 44)]
+    new = [lambda: "glpat-" + draw(alnum + "_-", 20), lambda: "npm_" + draw(alnum, 36), lambda: "dckr_pat_" + draw(alnum, 27)]
+    plain = [lambda: "-".join(draw("aeioulnrst", 6) for _ in range(4)), lambda: draw("0123456789", 18), lambda: "src/" + "/".join(draw("aeioulnrst", 5) for _ in range(4)), lambda: draw("aeioulnrst", 22)]
+    found = {}
+    for name, kinds in (("known", known), ("new", new), ("plain", plain)):
+        texts, places = [], []
+        for k in range(150):
+            words = (docs[k]["text"] or "").split()[:40]
+            s, at = kinds[k % len(kinds)](), len(words) // 2
+            head = " ".join(words[:at]) + " "
+            texts.append(head + s + " " + " ".join(words[at:]))
+            places.append((len(head), len(head) + len(s)))
+        spans = S.spans_of(texts, net)
+        found[name] = np.mean([any(k == 3 and a < y and x < b for a, k, b in got) for got, (x, y) in zip(spans, places, strict=True)])
+    assert found["known"] >= 0.9 and found["new"] >= 0.75 and found["plain"] <= 0.05, found
+
+
 def test_language_model(spark, docs):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     tok = {d["doc_id"]: [*re.findall(r"[^\x20\x09-\x0d]+", lower(d["text"] or "")), None] for d in docs}
