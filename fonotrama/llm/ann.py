@@ -249,6 +249,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             if out:
                 yield C.to_batch({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(schema.names)}, schema)
 
-    found = dealt.mapInArrow(run, ddl).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = C.map_arrow(dealt, run, ddl).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -144,4 +144,4 @@ def read_back(turns: DataFrame, parts: int | None = None) -> DataFrame:
         if now is not None:
             yield C.to_batch({k: [v] for k, v in zip(schema.names, close(now), strict=True)}, schema)
 
-    return rows.mapInArrow(run, ddl)
+    return C.map_arrow(rows, run, ddl)

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows; Spark bounds the bytes of a batch, this the rows that are objects at once."""
+    """The batches in parts of at most ``rows`` rows."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
@@ -72,6 +72,16 @@ def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     return own
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of at most ``rows`` rows, so that buffers stay small on both sides.
+
+    The bound is a setting of the session that plans the query, so the plan of ``df`` goes on in a session of its own.
+    """
+    own = own_session(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+    held = own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(held, own).mapInArrow(run, ddl)
+
+
 def settle(df: DataFrame, group_bytes: int | None = None, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -100,7 +110,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield to_batch(out, target)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema, rows)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

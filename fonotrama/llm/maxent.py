@@ -50,8 +50,8 @@ HEAD_DIGITS, MOST_DIGITS = 2, 4
 LEAST_ROWS, MOST_ROWS, BLOCK_ROWS = 1 << 12, 1 << 18, 1 << 11
 ROUNDS, BATCH, RATE, START_SQUARE = 2, 1 << 15, 0.1, 0.25
 CONTEXT = 3
-#: Bytes of text in a chunk, about, and rows of a file of chunks.
-CHUNK, GROUP_BYTES = 1 << 20, 16 << 20
+#: Bytes of text in a chunk, about, of a row group of chunks, and chunks in an Arrow batch.
+CHUNK, GROUP_BYTES, CHUNK_ROWS = 1 << 20, 16 << 20, 4
 #: Distinct tokens of chunks per bucket of hashes, about.
 PER_BUCKET = 1_500_000
 #: Bytes of token indices (about a third of the text's) that a training task takes if that makes a task for every core, and else at least.
@@ -124,7 +124,7 @@ def packed(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text"
         if now.rows:
             yield now.close(part | made, schema)[0]
 
-    return rows.mapInArrow(run, _FIELDS)
+    return C.map_arrow(rows, run, _FIELDS)
 
 
 def by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -140,7 +140,7 @@ def by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
             part = lambda x: [x[cuts[b] : cuts[b + 1]].tobytes() for b in on]
             yield C.to_batch({"chunk": [batch.column("chunk")[0].as_py()] * len(on), "bucket": on, "hashes": part(h), "counts": part(n)}, schema)
 
-    return chunks.select("chunk", "hashes", "counts").mapInArrow(run, ddl)
+    return C.map_arrow(chunks.select("chunk", "hashes", "counts"), run, ddl, CHUNK_ROWS)
 
 
 def _thin(n: np.ndarray) -> bytes:
@@ -367,7 +367,7 @@ def train(chunks: DataFrame, model: Model, tasks: int, rounds: int = ROUNDS) ->
                     total, n = total + np.frombuffer(m, np.float16).astype(float) * float(k), n + float(k)
             yield pd.DataFrame({"block": [key[0]], "moved": [(total / n).astype(np.float32).tobytes()]})
 
-        moves = part.mapInArrow(run, ddl).groupBy("block").applyInPandas(mean, "block int, moved binary").toLocalIterator()  # at most MOST_ROWS / BLOCK_ROWS rows
+        moves = C.map_arrow(part, run, ddl, CHUNK_ROWS).groupBy("block").applyInPandas(mean, "block int, moved binary").toLocalIterator()  # at most MOST_ROWS / BLOCK_ROWS rows
         w = w.copy()
         for r in moves:
             w[r["block"] * block : (r["block"] + 1) * block] += np.frombuffer(r["moved"], np.float32).reshape(block, WAYS)
@@ -390,7 +390,7 @@ def chance(model: Model, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, count
 
 def fitted(docs: DataFrame, held_out, id_col: str, text: str) -> tuple[DataFrame, DataFrame, Model]:
     """The settled chunks, the settled counts, and the trained model."""
-    spark = C.own_session(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "8"})
+    spark = C.own_session(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(CHUNK_ROWS), "spark.sql.parquet.columnarReaderBatchSize": "8"})
     chunks = C.settle(packed(docs, held_out, id_col, text), GROUP_BYTES, spark)
     entries, size = chunks.agg(F.sum(F.octet_length("hashes")) / 8, F.sum(F.octet_length("at"))).first()
     entries, size = int(entries or 0), int(size or 0)

@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
             if found:
                 yield C.to_batch(dict(zip("uv", zip(*found, strict=True), strict=True)), schema)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return C.map_arrow(rows, run, "u long, v long", 256)
 
 
 def _first_pivots(buckets: DataFrame) -> DataFrame:
