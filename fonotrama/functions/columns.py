@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from . import kernel, normalise, spelling
 
+# Tokens, marks of a pause, vowels, voiced consonants, and words of a text.
 TOKEN = r"[\p{L}\p{M}'-]+|[;:,.!?—…\"«»“”(){}₹\[\]]|\s+"
 PAUSE = r"[;:,.!?¡¿—…\"«»“”(){}₹\[\]]"
 VOWELS = "aeoáéóâêôãõàiuíúïü"
@@ -52,17 +53,26 @@ def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else normalise.sentences(t))
 
 
-@F.pandas_udf(T.StringType())
-def word_ipa(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else kernel.word_ipa(w))
+def ipa_by(rules: kernel.Rules):
+    """The rules' reading of words, each distinct word of a batch worked out once and remembered by the worker."""
+
+    @F.pandas_udf(T.StringType())
+    def read(words: pd.Series) -> pd.Series:
+        return words.map({w: kernel.word_ipa(w, rules) for w in words.dropna().unique()})
+
+    return read
+
+
+word_ipa = ipa_by(kernel.SEED)
 
 
 SYLLABLES = T.ArrayType(T.StructType([*(T.StructField(n, T.ArrayType(T.StringType())) for n in ("onset", "nucleus", "coda")), *(T.StructField(n, T.BooleanType()) for n in ("stressed", "secondary"))]))
 
 
-@F.udf(SYLLABLES, useArrow=True)
-def syllables(word):
-    return None if word is None else kernel.syllable_rows(word)
+@F.pandas_udf(SYLLABLES)
+def syllables(words: pd.Series) -> pd.Series:
+    held = {w: kernel.syllable_rows(w) for w in words.dropna().unique()}
+    return words.map(lambda w: held.get(w))
 
 
 # --- words ----------------------------------------------------------------------------------------------------
@@ -78,10 +88,10 @@ def needs_normalising(word: Column) -> Column:
     return word.rlike(r"\P{IsAlphabetic}") | F.lower(word).isin(*normalise.ABBREVIATIONS) | vowelless(word)
 
 
-def sounded_u(word: Column) -> Column:
+def sounded_u(word: Column, rules: kernel.Rules = kernel.SEED) -> Column:
     """Whether a u after q or g sounds (TR1)."""
-    marked = F.regexp_replace(word, "([gq])u(?=[eéêií])", "$1ü")
-    return (marked != word) & (marked.isin(*kernel.SOUNDED_WORDS) | marked.rlike("|".join(kernel.SOUNDED_STEMS)))
+    marked = F.regexp_replace(word, f"([qg])u(?=[{kernel.BEFORE_FRONT}])", "$1ü")
+    return (marked != word) & (marked.isin(*sorted(rules.sounded_words)) | marked.rlike("|".join(rules.sounded_stems)))
 
 
 def ks_stem(word: Column) -> Column:
@@ -143,7 +153,7 @@ def decimal_words(whole: Column, fraction: Column, feminine: bool = False) -> Co
 
 
 def _last(ipa: Column, found: str, put: str) -> Column:
-    return F.when(ipa.endswith(found), F.concat(F.substring(ipa, F.lit(1), F.length(ipa) - 1), F.lit(put))).otherwise(ipa)
+    return F.regexp_replace(ipa, f"{found}\\z", put)
 
 
 def starts_vowel(initial: Column) -> Column:
@@ -163,16 +173,25 @@ def sandhi_glide(ipa: Column, initial: Column) -> Column:
     return F.when(starts_vowel(initial), _last(_last(ipa, "ʊ", "w"), "y", "j")).otherwise(_last(_last(ipa, "w", "ʊ"), "j", "y"))
 
 
-FORCED, BLOCKED = ("adicionado", "de", "disso", "me", "onde", "se", "tive"), ("que",)
+# Words whose end always glides, or never does.
+FORCED, BLOCKED = ("se", "tive", "adicionado", "disso", "onde", "me", "de"), ("que",)
 
 
 def sandhi(word: Column, ipa: Column, initial: Column, curated: Column, by_sense: Column) -> Column:
-    """All of them in order; a reading chosen by sense takes every rule and no special case."""
-    joined = sandhi_r(sandhi_s(ipa, initial), initial)
-    glides = F.when(word.isin(*BLOCKED), F.lit(False)).when(word.isin(*FORCED), F.lit(True)).otherwise(~curated)
-    spoken = F.when(glides, sandhi_glide(joined, initial)).otherwise(joined)
-    special = F.when((word == "o") & starts_vowel(initial) & (spoken == "ʊ"), F.lit("u")).when((word == "pode") & ~starts_vowel(initial), _last(spoken, "j", "y")).otherwise(spoken)
-    return F.when(by_sense, sandhi_glide(joined, initial)).otherwise(special)
+    """All of them in order; a reading chosen by sense takes every rule and no special case.
+
+    Each rule turns the last sound only, and no rule turns what another one gives, so one case decides on that sound.
+    """
+    vowel = starts_vowel(initial)
+    voiced = F.coalesce(F.lower(initial).rlike(f"^[{VOWELS}{VOICED}]"), F.lit(False))
+    glides = F.when(by_sense, F.lit(True)).when(word.isin(*BLOCKED), F.lit(False)).when(word.isin(*FORCED), F.lit(True)).otherwise(~curated)
+    last = F.right(ipa, F.lit(1))
+    either = lambda on, yes, no: F.when(on, F.lit(yes)).otherwise(F.lit(no))
+    turned = F.when(last.isin("s", "z"), either(voiced, "z", "s")).when(last.isin("r", "ɾ"), either(vowel, "ɾ", "r"))
+    turned = turned.when(glides & last.isin("ʊ", "w"), either(vowel, "w", "ʊ")).when(glides & last.isin("y", "j"), either(vowel, "j", "y"))
+    turned = F.when(~by_sense & (word == "pode") & ~vowel & last.isin("y", "j"), F.lit("y")).otherwise(turned.otherwise(last))
+    turned = F.when(~by_sense & (word == "o") & vowel & (ipa == "ʊ") & ~glides, F.lit("u")).otherwise(turned)
+    return F.when(ipa == "", ipa).otherwise(F.concat(F.substring(ipa, F.lit(1), F.length(ipa) - 1), turned))
 
 
 def base_ipa(ipa: Column) -> Column:
@@ -250,7 +269,7 @@ def text_words(text: Column) -> Column:
 
 
 def ipa_words(ipa: Column) -> Column:
-    edge = "[.,;:!?…—\"'()«»]"
+    edge = "[;:,.!?¡¿—…\"«»“”(){}]"  # a fixed value
     parts = F.transform(F.split(F.trim(ipa), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, f"^{edge}+", ""), f"{edge}+$", ""))
     return F.filter(parts, lambda w: w != "")
 

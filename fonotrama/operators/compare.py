@@ -14,6 +14,11 @@ from ..functions import columns as X
 
 #: Six sentences that set a word before a vowel, a voiced and an unvoiced consonant, at the end, at the start, and alone.
 TEMPLATES = ("Eu vejo {p} água", "Eu vejo {p} bola", "Eu vejo {p} coisa", "Eu vejo {p}", "{p} está aqui", "{p}")
+# Abbreviations that are no words to compare.
+ABBREVIATIONS = (
+    "sr", "sra", "srta", "dr", "dra", "prof", "profa", "eng", "av", "r", "pç", "ed", "apto", "ap", "pág", "pag", "fig", "obs", "ex", "etc", "cia", "ltda", "no", "tel", "cel",
+    "kg", "km", "cm", "mm", "ml", "mg", "gb", "mb", "kb", "tb",
+)
 #: Sets of at most so many rows are broadcast; larger ones are joined by exchange.
 BROADCAST_ROWS = 200_000
 
@@ -29,7 +34,7 @@ def _bare(word: Column) -> Column:
 
 def _not_speakable(word: Column) -> Column:
     """Not letters only, or an abbreviation: such words are left out of comparisons."""
-    return word.rlike(r"[^\p{L}]") | F.lower(word).isin(*X.normalise.ABBREVIATIONS)
+    return word.rlike(r"[^\p{L}]") | F.lower(word).isin(*ABBREVIATIONS)
 
 
 def word_occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -57,7 +62,7 @@ def plain_sentences(docs: DataFrame, exceptions: DataFrame | None = None, text:
     if exceptions is None:
         return rows
     names = rows.columns
-    marked = rows.withColumn("__row", F.xxhash64(*names))
+    marked = rows.withColumn("__row", F.monotonically_increasing_id())
     hit = marked.select("__row", F.explode(words).alias("word")).select("__row", F.lower("word").alias("word")).join(small(exceptions.select("word").distinct()), "word", "left_semi").select("__row").distinct()
     return marked.join(hit, "__row", "left_anti").select(*names)
 
@@ -135,8 +140,9 @@ def homograph_accuracy(outputs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def worst_words(diffs: DataFrame, k: int = 15) -> DataFrame:
-    """CM13: the words of most errors."""
-    return diffs.groupBy("word").agg(F.count(F.lit(1)).alias("errors")).orderBy(F.desc("errors"), "word").limit(k)
+    """CM13: the words of most errors; ties in the order in which they are first seen."""
+    counts = diffs.groupBy("word").agg(F.count(F.lit(1)).alias("errors"), F.min(F.struct("sent_id", "pos")).alias("first"))
+    return counts.orderBy(F.desc("errors"), "first").limit(k).select("word", "errors")
 
 
 def divergence_lexicon(left: DataFrame, right: DataFrame) -> DataFrame:

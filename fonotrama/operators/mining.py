@@ -110,11 +110,12 @@ def homograph_lexicon(examples: DataFrame, cached: DataFrame, least: int = 2) ->
 
 
 def divergence_pairs(diffs: DataFrame, k: int = 40, least: int = 1, words: int = 5) -> DataFrame:
-    """MN17: the ``k`` most frequent pairs (ipa_a, ipa_b), then those of ``least`` and more, with their most frequent words."""
-    by_word = diffs.groupBy("ipa_a", "ipa_b", "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = by_word.groupBy("ipa_a", "ipa_b").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "ipa_a", "ipa_b").limit(k)
+    """MN17: the ``k`` most frequent pairs (ipa_a, ipa_b), then those of ``least`` and more, with their most frequent words;
+    ties in the order in which they are first seen."""
+    by_word = diffs.groupBy("ipa_a", "ipa_b", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent_id", "pos")).alias("first"))
+    totals = by_word.groupBy("ipa_a", "ipa_b").agg(F.sum("n").alias("total"), F.min("first").alias("f")).orderBy(F.desc("total"), "f").limit(k).drop("f")
     held = by_word.join(F.broadcast(totals.where(F.col("total") >= least)), ["ipa_a", "ipa_b"])  # at most k rows
-    rank = F.row_number().over(Window.partitionBy("ipa_a", "ipa_b").orderBy(F.desc("n"), "word"))
+    rank = F.row_number().over(Window.partitionBy("ipa_a", "ipa_b").orderBy(F.desc("n"), "first"))
     held = held.withColumn("r", rank).where(F.col("r") <= words)
     named = F.transform(F.array_sort(F.collect_list(F.struct("r", "word", "n"))), lambda x: F.concat(x["word"], F.lit("("), x["n"].cast("string"), F.lit(")")))
     return held.groupBy("ipa_a", "ipa_b", "total").agg(F.array_join(named, ", ").alias("words"))
@@ -127,10 +128,10 @@ def word_corrections(diffs: DataFrame, least: int = 10) -> DataFrame:
     return top.select("word", "top.ipa_a", "top.ipa_b", "n", "total")
 
 
-def frequent_words(tokens: DataFrame, least: int = 2, k: int = 50) -> DataFrame:
-    """MN16: the ``k`` most frequent words of at least so many occurrences."""
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return counts.orderBy(F.desc("n"), "word").limit(k)
+def frequent_words(tokens: DataFrame, least: int = 2, k: int = 50, order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
+    """MN16: the ``k`` most frequent words of at least so many occurrences; ties in the order in which they are first seen."""
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")).where(F.col("n") >= least)
+    return counts.orderBy(F.desc("n"), "first").limit(k).select("word", "n")
 
 
 # --- features and rules (MN6-MN14) ------------------------------------------------------------------------------

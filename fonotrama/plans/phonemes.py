@@ -1,6 +1,8 @@
 """Texts to phonemes: sentences, tokens, distinct words, dictionaries, sounds between words, chunks.
 
-Rows are keyed (doc, sent, pos). The Python kernel sees each distinct word once; everything else is native.
+Rows are keyed (doc, sent, pos) and flow through in one pass: texts are normalised, split and cut into tokens once, and the
+only exchange is that of tokens by sentence, which serves the windows and the assembly. The Python kernel works out a
+word once per Arrow batch and remembers it, so words need no exchange; everything else is native.
 What a word sounds like depends on its own sentence only, so the window stays within one.
 """
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as X
+from ..functions import kernel
 
 #: The most entries of a dictionary that are broadcast; a larger one is joined by exchange.
 BROADCAST_ENTRIES = 200_000
@@ -29,6 +32,8 @@ class Dictionaries:
     external: DataFrame | None = None
     context_external: DataFrame | None = None
     homographs: DataFrame | None = None
+    #: The words and stems whose u sounds after q or g, such as ``sources.lexicons.diaeresis_rules`` reads.
+    rules: kernel.Rules = kernel.SEED
     checked: dict = field(default_factory=dict)
 
     def joined(self, df: DataFrame, name: str, out: str, on: tuple[str, ...] = ("word",)) -> DataFrame:
@@ -44,13 +49,20 @@ class Dictionaries:
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", normalise: bool = True) -> DataFrame:
     """``doc, sent, sentence``."""
     said = X.normalised(F.col(text)) if normalise else F.col(text)
-    split = docs.select(F.col(id_col).alias("doc"), X.sentences(said).alias("s"))
+    cut = X.sentences.asNondeterministic()  # or a filter that Spark infers from the explosion would split the text again
+    split = docs.select(F.col(id_col).alias("doc"), cut(said).alias("s"))
     return split.select("doc", F.posexplode("s").alias("sent", "sentence"))
 
 
-def token_rows(sentences: DataFrame) -> DataFrame:
-    """``doc, sent, pos, token, kind`` (word, mark, space, or other: hyphens and quotes alone)."""
-    rows = sentences.select("doc", "sent", F.posexplode(F.regexp_extract_all("sentence", F.lit(X.TOKEN), F.lit(0))).alias("pos", "token"))
+def token_rows(sentences: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc, sent, pos, token, kind`` (word, mark, space, or other: hyphens and quotes alone).
+
+    ``whole`` adds the ``sentence`` to its first row, and a row without a token for a sentence that has none.
+    """
+    tokens = F.regexp_extract_all("sentence", F.lit(X.TOKEN), F.lit(0))
+    rows = sentences.select("doc", "sent", *["sentence"] * whole, (F.posexplode_outer if whole else F.posexplode)(tokens).alias("pos", "token"))
+    if whole:
+        rows = rows.withColumn("sentence", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("sentence")))
     kind = F.when(F.col("token").rlike(r"\p{IsAlphabetic}"), "word").when(F.col("token").rlike(f"^{X.PAUSE}+$"), "mark").when(F.col("token").rlike(r"^\s+$"), "space").otherwise("other")
     return rows.withColumn("kind", kind)
 
@@ -78,25 +90,25 @@ def with_context(tokens: DataFrame, strict_compat: bool = True) -> DataFrame:
 
 
 def word_parts(tokens: DataFrame) -> DataFrame:
-    """One row per hyphen part of each word: ``part, word`` and ``parts``; only a word of one part hears the next."""
+    """One row per hyphen part of each word: ``part, word`` and ``parts``; only a word of one part hears the next. Other
+    tokens keep one row without a word, and so does a word of no part."""
     bare = F.regexp_replace(F.regexp_replace(F.lower("token"), "^['-]+", ""), "['-]+$", "")
     parts = F.filter(F.split(bare, "-"), lambda w: w != "")
-    rows = tokens.where("kind = 'word'").withColumn("parts", F.size(parts)).select("*", F.posexplode(parts).alias("part", "word"))
+    split = F.when(F.col("kind") == "word", parts)
+    rows = tokens.withColumn("parts", F.size(split)).select("*", F.posexplode_outer(split).alias("part", "word"))
     return rows.withColumn("initial", F.when((F.col("parts") == 1) & (F.col("n_words") > 1), F.col("initial")))
 
 
 def spoken(words: DataFrame, dictionaries: Dictionaries) -> DataFrame:
-    """Adds ``ipa`` and its ``layer`` (LX4, LX5, SD1-SD6); rules answer where no dictionary does, once per distinct word."""
+    """Adds ``ipa`` and its ``layer`` (LX4, LX5, SD1-SD6); rules answer where no dictionary does."""
     names = {"context_clitic": "x0", "context_word": "x1", "context_external": "x2", "external": "x3", "word": "x4", "clitic": "x5"}
-    distinct = words.select("word").distinct().withColumn("x6", X.word_ipa("word"))
-    rows = words
+    rows = words.withColumn("x6", X.ipa_by(dictionaries.rules)("word"))
     for name, out in names.items():
         rows = dictionaries.joined(rows, name, out)
     if dictionaries.homographs is not None and "sense" in words.columns:
         rows = dictionaries.joined(rows, "homographs", "xh", ("word", "sense"))
     else:
         rows = rows.withColumn("xh", F.lit(None).cast("string"))
-    rows = rows.join(distinct, "word", "left")
     context = F.col("n_words") > 1
     rows = rows.withColumn("xh", F.when(context & (F.col("part") == 0), F.col("xh")))
     alone = F.when(F.col("x4").isNotNull(), "word").when(F.col("x5").isNotNull(), "clitic").when(F.col("x3").isNotNull(), "external").otherwise("rules")
@@ -120,24 +132,24 @@ def with_senses(words: DataFrame, tagged: DataFrame) -> DataFrame:
     return words.join(senses, ["doc", "sent", "pos"], "left")
 
 
-def assembled(tokens: DataFrame, heard: DataFrame) -> DataFrame:
-    """FZ6: ``doc, sent, ipa`` of each sentence."""
-    by_token = heard.groupBy("doc", "sent", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ipa"))), lambda x: x["ipa"]), " ").alias("said"))
-    marks = tokens.where("kind IN ('mark', 'space')").select("doc", "sent", "pos", F.when(F.col("kind") == "mark", F.concat("token", F.lit(" "))).otherwise(F.lit(" ")).alias("said"))
-    parts = by_token.unionByName(marks).groupBy("doc", "sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "").alias("raw"))
+def assembled(heard: DataFrame) -> DataFrame:
+    """FZ6: ``doc, sent, sentence, ipa`` of each sentence, from all its tokens."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("part", "ipa")))), lambda x: x["ipa"]), " ")
+    by_token = heard.groupBy("doc", "sent", "pos").agg(F.first("kind").alias("kind"), F.first("token").alias("token"), F.max("sentence").alias("sentence"), parts.alias("spoken"))
+    said = F.when(F.col("kind") == "word", F.col("spoken")).when(F.col("kind") == "mark", F.concat("token", F.lit(" "))).when(F.col("kind") == "space", F.lit(" "))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))), lambda x: x["said"]), "")
+    whole = by_token.groupBy("doc", "sent").agg(F.max("sentence").alias("sentence"), raw.alias("raw"))
     attached = F.regexp_replace("raw", f" +(?={X.PAUSE})", "")
-    return parts.select("doc", "sent", F.trim(F.regexp_replace(F.regexp_replace(attached, r"\s{2,}", " "), r"\s+([;:,.!?…])", "$1")).alias("ipa"))
+    ipa = F.trim(F.regexp_replace(F.regexp_replace(attached, r"\s{2,}", " "), r"\s+([;:,.!?…])", "$1"))
+    return whole.select("doc", "sent", "sentence", F.coalesce(ipa, F.lit("")).alias("ipa"))
 
 
 def phonemise(docs: DataFrame, dictionaries: Dictionaries | None = None, id_col: str = "doc_id", text: str = "text", normalise: bool = True, tagged: DataFrame | None = None) -> DataFrame:
     """``doc, sent, sentence, ipa`` (FZ7, WK3)."""
-    sentences = sentence_rows(docs, id_col, text, normalise)
-    tokens = token_rows(sentences)
-    words = word_parts(with_context(tokens))
+    words = word_parts(with_context(token_rows(sentence_rows(docs, id_col, text, normalise), whole=True)))
     if tagged is not None:
         words = with_senses(words, tagged)
-    heard = spoken(words, dictionaries or Dictionaries())
-    return sentences.join(assembled(tokens, heard), ["doc", "sent"], "left").withColumn("ipa", F.coalesce("ipa", F.lit("")))
+    return assembled(spoken(words, dictionaries or Dictionaries()))
 
 
 def speech(docs: DataFrame, dictionaries: Dictionaries | None = None, id_col: str = "doc_id", text: str = "text", limit: int = 200, **how) -> DataFrame:
@@ -153,6 +165,5 @@ def word_map(words: DataFrame, dictionaries: Dictionaries | None = None) -> Data
     plain = said.where(~X.needs_normalising(F.col("word"))).select("word", F.col("word").alias("said"))
     odd = said.where(X.needs_normalising(F.col("word"))).select("word", X.normalised("word").alias("said"))
     docs = plain.unionByName(odd)
-    tokens = token_rows(docs.select(F.col("word").alias("doc"), F.lit(0).alias("sent"), F.col("said").alias("sentence")))
-    heard = spoken(word_parts(with_context(tokens)), dictionaries or Dictionaries())
-    return docs.select(F.col("word").alias("doc")).join(assembled(tokens, heard), "doc", "left").select(F.col("doc").alias("word"), F.coalesce("ipa", F.lit("")).alias("ipa"))
+    tokens = token_rows(docs.select(F.col("word").alias("doc"), F.lit(0).alias("sent"), F.col("said").alias("sentence")), whole=True)
+    return assembled(spoken(word_parts(with_context(tokens)), dictionaries or Dictionaries())).select(F.col("doc").alias("word"), "ipa")

@@ -56,7 +56,7 @@ def sql_plain_ipa(expr: str) -> str:
 
 
 WORD_LIST = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_''-]+')"
-EDGE = "[.,;:!?—\"''()«»]"
+EDGE = '[;:,.!?¡¿—…"«»“”(){}]'
 
 
 def sql_ipa_words(expr: str) -> str:
@@ -68,7 +68,8 @@ def sql_bare(expr: str) -> str:
     return f"regexp_replace(regexp_replace(lower({expr}), '^[''-]+', ''), '[''-]+$', '')"
 
 
-ABBREVIATION_LIST = ", ".join(map(q, normalise.ABBREVIATIONS))
+# written out here, so that the SQL doesn't repeat what the engine holds
+ABBREVIATION_LIST = ", ".join(map(q, "sr sra srta dr dra prof profa eng av r pç ed apto ap pág pag fig obs ex etc cia ltda no tel cel kg km cm mm ml mg gb mb kb tb".split()))
 NOT_SPEAKABLE = f"(regexp_matches({{0}}, '[^\\p{{{{L}}}}]') OR lower({{0}}) IN ({ABBREVIATION_LIST}))"
 
 
@@ -86,7 +87,7 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS_CTE = f"words AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS word FROM (SELECT doc_id, {WORD_LIST.format('lower(text)')} AS l FROM documents))"
 
 
-@query(f"WITH {WORDS_CTE} SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 50")
+@query(f"WITH {WORDS_CTE} SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, min((doc_id, pos)) LIMIT 50")
 def frequent_words(spark, sf_dir):
     return mining.frequent_words(doc_words(spark, sf_dir))
 
@@ -123,11 +124,13 @@ def acronym_spelling(spark, sf_dir):
     return doc_words(spark, sf_dir).where(F.length("word") <= 6).select("word").distinct().select("word", X.acronym_words(F.col("word")).alias("spelled"))
 
 
-_MARKED = r"regexp_replace(word, '([gq])u([eéêií])', '\1ü\2', 'g')"
+_MARKED = r"regexp_replace(word, '([qg])u([eiéêí])', '\1ü\2', 'g')"
+_SOUNDED = "agüentar cinqüenta consangüíneo eloqüente freqüência freqüente lingüiça lingüística qüinqüênio seqüência seqüestro tranqüilo".split()
+_STEMS = "agüent|cinqüent|conseqüent|eloqüent|eqüent|freqüent|inqüil|liqüef|lingüiç|lingüíst|lingüet|bilíngüe|trilíngüe|qüestr|seqüestr|seqüen|tranqüil|eqüida|eqüidist|eqüilát|eqüitativ|igüidade|biqüida|tiqüíssim|verigüe|azigüe|pinqüe|ingüim|qüinqü|enxagüe|desagüe|sagüi"
 
 
 @query(
-    f"""WITH {WORDS_CTE} SELECT DISTINCT word, {_MARKED} <> word AND ({_MARKED} IN ({', '.join(map(q, sorted(kernel.SOUNDED_WORDS)))}) OR regexp_matches({_MARKED}, '{'|'.join(kernel.SOUNDED_STEMS)}')) AS sounded,
+    f"""WITH {WORDS_CTE} SELECT DISTINCT word, {_MARKED} <> word AND ({_MARKED} IN ({', '.join(map(q, _SOUNDED))}) OR regexp_matches({_MARKED}, '{_STEMS}')) AS sounded,
     NOT regexp_matches(strip_accents(word), '^({'|'.join(kernel.KS_NOT)})') AND regexp_matches(strip_accents(word), '{'|'.join(kernel.KS_STEMS)}') AS ks FROM words"""
 )
 def spelling_flags(spark, sf_dir):
@@ -297,7 +300,7 @@ _SEED_CTE = "seed AS (SELECT * FROM (VALUES " + ", ".join(f"({q(layer)}, {q(w)},
     SELECT word, layer, base, count(*) AS n FROM r GROUP BY word, layer, base"""
 )
 def lexicon_resolve(spark, sf_dir):
-    heard = P.spoken(P.word_parts(_tokens(spark, sf_dir)), dictionaries(spark))
+    heard = P.spoken(P.word_parts(_tokens(spark, sf_dir).where("kind = 'word'")), dictionaries(spark))
     return heard.groupBy("word", "layer", F.when(F.col("layer") != "rules", F.col("base")).alias("base")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -429,7 +432,7 @@ def homograph_accuracy(spark, sf_dir):
     return compare.homograph_accuracy(outputs(spark, sf_dir).where("sentence IS NOT NULL"), spark.createDataFrame([(w,) for w in _TARGETS], "word string"))
 
 
-@query(f"WITH {_OUT} SELECT word, count(*) AS errors FROM dif GROUP BY word ORDER BY errors DESC, word LIMIT 15")
+@query(f"WITH {_OUT} SELECT word, count(*) AS errors FROM dif GROUP BY word ORDER BY errors DESC, min((sent_id, pos)) LIMIT 15")
 def worst_words(spark, sf_dir):
     return compare.worst_words(compare.differences(outputs(spark, sf_dir)))
 
@@ -495,14 +498,14 @@ _TEMPLATE_ROWS = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(compare.TEMPLA
 
 
 @query(
-    f"""WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part), p AS (SELECT word, i, replace(t, '{{p}}', word) AS s FROM w, (VALUES {_TEMPLATE_ROWS}) v(i, t)),
+    f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), p AS (SELECT word, i, replace(t, '{{p}}', word) AS s FROM w, (VALUES {_TEMPLATE_ROWS}) v(i, t)),
     l AS (SELECT word, i, list_transform({WORD_LIST.format('s')}, lambda x: lower(x)) AS tt, {sql_ipa_words(sql_plain_ipa('lower(s)'))} AS ta, {sql_ipa_words(sql_plain_ipa(sql_replace('lower(s)', [(chr(32) + "á", "z á"), (chr(32) + "e", "z e")])))} AS tb FROM p),
     r AS (SELECT word, i, CASE WHEN len(tt) = len(ta) THEN ta[list_position(tt, lower(word))] END AS a, CASE WHEN len(tt) = len(tb) THEN tb[list_position(tt, lower(word))] END AS b FROM l)
     SELECT word, count(DISTINCT a) AS readings_a, count(DISTINCT b) AS readings_b, CASE WHEN count(DISTINCT a) = 1 AND count(DISTINCT b) = 1 THEN CASE WHEN min(a) = min(b) THEN 'consistent' ELSE 'systematic' END WHEN count(DISTINCT b) = 1 THEN 'excess' WHEN count(DISTINCT a) = 1 THEN 'missing rule' ELSE 'ambiguous' END AS verdict
     FROM r WHERE b IS NOT NULL GROUP BY word"""
 )
 def probe_matrix(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     rows = compare.probes(words)
     changed = F.replace(F.replace(F.lower("sentence"), F.lit(" á"), F.lit("z á")), F.lit(" e"), F.lit("z e"))
     read = lambda said: compare.reading_of(F.col("sentence"), said, F.col("word"))
@@ -565,8 +568,8 @@ def homograph_lexicon(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_OUT}, bw AS (SELECT ipa_a, ipa_b, word, count(*) AS n FROM dif GROUP BY ALL), tt AS (SELECT ipa_a, ipa_b, CAST(sum(n) AS BIGINT) AS total FROM bw GROUP BY ALL ORDER BY total DESC, ipa_a, ipa_b LIMIT 40),
-    r AS (SELECT bw.*, total, row_number() OVER (PARTITION BY bw.ipa_a, bw.ipa_b ORDER BY n DESC, word) AS r FROM bw JOIN tt ON tt.ipa_a = bw.ipa_a AND tt.ipa_b = bw.ipa_b WHERE total >= 2)
+    f"""WITH {_OUT}, bw AS (SELECT ipa_a, ipa_b, word, count(*) AS n, min((sent_id, pos)) AS first FROM dif GROUP BY ipa_a, ipa_b, word), tt AS (SELECT ipa_a, ipa_b, CAST(sum(n) AS BIGINT) AS total FROM bw GROUP BY ipa_a, ipa_b ORDER BY total DESC, min(first) LIMIT 40),
+    r AS (SELECT bw.*, total, row_number() OVER (PARTITION BY bw.ipa_a, bw.ipa_b ORDER BY n DESC, first) AS r FROM bw JOIN tt ON tt.ipa_a = bw.ipa_a AND tt.ipa_b = bw.ipa_b WHERE total >= 2)
     SELECT ipa_a, ipa_b, total, string_agg(word || '(' || n || ')', ', ' ORDER BY r) AS words FROM r WHERE r <= 5 GROUP BY ALL"""
 )
 def divergence_pairs(spark, sf_dir):
@@ -650,14 +653,14 @@ def label_cooccurrence(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT coalesce(event_type, '') || '|' || user_id || '|' || '' || '|' || '' || '|' || '' || '|' || 'false' AS k, event_id FROM events), l AS (SELECT k, arg_max('t' || event_id % 3, event_id) AS trigger FROM e WHERE event_id % 2 = 0 GROUP BY k)
-    SELECT count(*) AS items, count(trigger) AS labelled FROM e LEFT JOIN l ON l.k = e.k"""
+    """WITH e AS (SELECT coalesce(event_type, '') || '|' || user_id || '|' || '' || '|' || '' || '|' || '' || '|' || 'false' AS k, event_id, value, props FROM events), l AS (SELECT k, arg_max(props, event_id) AS trigger FROM e WHERE value >= 50 GROUP BY k)
+    SELECT event_id, trigger FROM e LEFT JOIN l ON l.k = e.k"""
 )
 def label_join(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    rows = events.select(F.col("event_type").alias("palavra"), F.col("user_id").alias("ipa_rs"), *[F.lit(None).cast("string").alias(c) for c in ("ipa_espeak", "proxima", "posicao_rel")], F.lit(False).alias("tem_pausa_depois"), "event_id")
-    labels = rows.where("event_id % 2 = 0").select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in mining.LABEL_KEY]).alias("_key"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("trigger"), F.col("event_id").alias("seq"))
-    return mining.with_labels(rows, labels).agg(F.count(F.lit(1)).alias("items"), F.count("trigger").alias("labelled"))
+    rows = events.select(F.col("event_type").alias("palavra"), F.col("user_id").alias("ipa_rs"), *[F.lit(None).cast("string").alias(c) for c in ("ipa_espeak", "proxima", "posicao_rel")], F.lit(False).alias("tem_pausa_depois"), "event_id", "value", "props")
+    labels = rows.where("value >= 50").select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in mining.LABEL_KEY]).alias("_key"), F.col("props").alias("trigger"), F.col("event_id").alias("seq"))
+    return mining.with_labels(rows, labels).select("event_id", "trigger")
 
 
 @query(
