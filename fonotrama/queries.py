@@ -70,6 +70,7 @@ def sql_bare(expr: str) -> str:
 
 # written out here, so that the SQL doesn't repeat what the engine holds
 ABBREVIATION_LIST = ", ".join(map(q, "sr sra srta dr dra prof profa eng av r pç ed apto ap pág pag fig obs ex etc cia ltda no tel cel kg km cm mm ml mg gb mb kb tb".split()))
+SPELLED_OUT = ", ".join(map(q, normalise.ABBREVIATIONS))
 NOT_SPEAKABLE = f"(regexp_matches({{0}}, '[^\\p{{{{L}}}}]') OR lower({{0}}) IN ({ABBREVIATION_LIST}))"
 
 
@@ -106,7 +107,7 @@ def tokens_count(spark, sf_dir):
     return rows.withColumnRenamed("doc", "doc_id")
 
 
-@query(f"WITH {WORDS_CTE} SELECT DISTINCT word, {sql_not_speakable('word')} OR (regexp_matches(word, '^\\p{{L}}{{2,6}}$') AND NOT regexp_matches(word, '[{VOWELLESS_MARKS}]')) AS odd FROM words")
+@query(f"WITH {WORDS_CTE} SELECT DISTINCT word, regexp_matches(word, '[^\\p{{L}}]') OR lower(word) IN ({SPELLED_OUT}) OR (regexp_matches(word, '^\\p{{L}}{{2,6}}$') AND NOT regexp_matches(word, '[{VOWELLESS_MARKS}]')) AS odd FROM words")
 def needs_normalising(spark, sf_dir):
     return doc_words(spark, sf_dir).select("word").distinct().select("word", X.needs_normalising(F.col("word")).alias("odd"))
 
