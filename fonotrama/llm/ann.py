@@ -9,9 +9,10 @@ lie close to a chosen one, against the vector's own distance (at most ``COPIES``
 A query searches the centroids by a best-first walk on their neighbour graph, held in each worker's
 memory, and reads the lists whose distance is within a ratio of the nearest one's. The ratio is the least
 that would have found ``CAUGHT`` of the true neighbours in the sample for queries drawn at random from rows of it that the
-centroids are not fitted on; at least ``FLOOR`` vectors are read. Data without clusters so read many lists. Lists are dealt into groups and these, by id, into blocks of about ``BLOCK`` vectors; a task holds
-one block as a matrix and streams the queries that ask for lists of the group past it. So a list of any
-size is split, and a list asked for by all queries needs no more memory.
+centroids are not fitted on; at least ``FLOOR`` vectors are read. Data without clusters so read many lists. Lists whose centroids
+lie together form a group, so a query is sent to the few groups around it, and groups are split by id into blocks of about
+``BLOCK`` vectors; a task holds one block as a matrix and streams the queries that ask for lists of the group past it. So a
+list of any size is split, and a list asked for by all queries needs no more memory.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a non-finite
 component take no part, neither as query nor as candidate; a null id takes no part; of rows that share an
@@ -159,11 +160,28 @@ def postings(rows: DataFrame, d: int, centroids: Centroids) -> DataFrame:
     return C.map_rows(rows, run, "list int, id long, v array<double>")
 
 
-def asked(queries: DataFrame, d: int, centroids: Centroids, sizes: np.ndarray, groups: int) -> DataFrame:
-    """``group, lists, id, v``: each query with the lists that it reads, by group."""
+def neighbourhoods(points: np.ndarray, sizes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each list: centroids halved again and again across their longest axis, by about equal numbers of vectors."""
+    group = np.zeros(len(points), np.int32)
+    todo = [(np.arange(len(points)), 0, groups)]
+    while todo:
+        lists, first, n = todo.pop()
+        group[lists] = first
+        if n > 1 and len(lists) > 1:
+            x = points[lists] - points[lists].mean(0)
+            axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+            lists = lists[np.argsort(x @ axis, kind="stable")]
+            held = np.cumsum(sizes[lists] + 1.0)
+            cut = int(np.clip(np.searchsorted(held, held[-1] * (n // 2) / n), 1, len(lists) - 1))
+            todo += [(lists[:cut], first, n // 2), (lists[cut:], first + n // 2, n - n // 2)]
+    return group
+
+
+def asked(queries: DataFrame, d: int, centroids: Centroids, sizes: np.ndarray, group_of: np.ndarray, blocks: np.ndarray) -> DataFrame:
+    """``group, block, lists, id, v``: each query with the lists that it reads, by group, for every block of it."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        v, out = matrix(batch, d), {"group": [], "lists": [], "row": []}
+        v, out = matrix(batch, d), {"group": [], "block": [], "lists": [], "row": []}
         lifted_q = np.concatenate((v * (centroids.norm / np.maximum(np.sqrt((v * v).sum(1)), 1e-300))[:, None], np.zeros((len(v), 1))), axis=1)
         for i, q in enumerate(lifted_q):
             ef = BEAM
@@ -175,15 +193,17 @@ def asked(queries: DataFrame, d: int, centroids: Centroids, sizes: np.ndarray, g
                 ef *= 2
             c = c[: max(int((far <= centroids.ratio * far[0]).sum()), int(np.searchsorted(held, FLOOR)) + 1)]
             # a group that holds several of these lists is asked once
-            group = c % groups
+            group = group_of[c]
             for g in np.unique(group).tolist():
-                out["group"].append(g)
-                out["lists"].append(c[group == g].astype(np.int32))
-                out["row"].append(i)
+                n = int(blocks[g])
+                out["group"] += [g] * n
+                out["block"] += range(n)
+                out["lists"] += [c[group == g].astype(np.int32)] * n
+                out["row"] += [i] * n
         at = pa.array(out["row"], pa.int64())
-        return {"group": out["group"], "lists": out["lists"], "id": batch.column("id").take(at), "v": batch.column("v").take(at)}
+        return {"group": out["group"], "block": out["block"], "lists": out["lists"], "id": batch.column("id").take(at), "v": batch.column("v").take(at)}
 
-    return C.map_rows(queries, run, "group int, lists array<int>, id long, v array<double>")
+    return C.map_rows(queries, run, "group int, block int, lists array<int>, id long, v array<double>")
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -206,12 +226,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     for r in held.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
     groups = max(LEAST_GROUPS, -(-int(sizes.sum()) // BLOCK))
-    parts = np.maximum(1, -(-np.bincount(np.arange(len(sizes)) % groups, sizes, groups).astype(np.int64) // (2 * BLOCK)))
-    n_blocks = F.get(F.array(*[F.lit(int(n)) for n in parts]), F.col("group")) if parts.max() > 1 else F.lit(1)
-    left = held.withColumn("group", F.pmod("list", F.lit(groups)))
-    left = left.select("group", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.lit(0).alias("kind"), F.array("list").alias("lists"), "id", "v")
-    queries = asked(rows.where(is_query(F.col("id"))).repartition(C.partitions(spark)), d, centroids, sizes, groups)
-    right = queries.select("group", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(1).alias("kind"), "lists", "id", "v")
+    group_of = neighbourhoods(centroids.points, sizes, groups)
+    blocks = np.maximum(1, -(-np.bincount(group_of, sizes, groups).astype(np.int64) // (2 * BLOCK)))
+    of = spark.createDataFrame(pa.table({"list": pa.array(range(len(sizes)), pa.int32()), "group": group_of, "blocks": blocks[group_of]}))
+    left = held.join(F.broadcast(of), "list")  # at most MOST_LISTS rows
+    left = left.select("group", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), F.array("list").alias("lists"), "id", "v")
+    queries = asked(rows.where(is_query(F.col("id"))).repartition(C.partitions(spark)), d, centroids, sizes, group_of, blocks)
+    right = queries.select("group", "block", F.lit(1).alias("kind"), "lists", "id", "v")
     dealt = left.unionByName(right).repartition(C.partitions(spark), "group", "block").sortWithinPartitions("group", "block", "kind")
     schema = C.arrow_schema(ddl := "query_id long, vec_id long, score double")
 

@@ -259,6 +259,22 @@ def test_neighbours_in_pruned_lists(spark):
     assert found.mean() >= 0.9 and found.min() >= 0.8, found
 
 
+def test_neighbourhoods_of_lists():
+    """Groups are compact and hold about equal numbers of vectors; any number of lists and groups works."""
+    from fonotrama.llm import ann
+
+    rng = np.random.default_rng(3)
+    points = np.repeat(rng.normal(0, 10, (8, 6)), 8, axis=0) + rng.normal(0, 0.1, (64, 6))
+    sizes = rng.integers(200, 300, 64)
+    group = ann.neighbourhoods(points, sizes, 8)
+    held = np.bincount(group, sizes, 8)
+    assert held.max() < 2 * held.min()
+    assert np.mean([len(set(group[8 * i : 8 * i + 8].tolist())) for i in range(8)]) < 3
+    for lists, groups in ((1, 16), (2, 16), (5, 16), (16, 1)):
+        found = ann.neighbourhoods(np.zeros((lists, 3)), np.zeros(lists, np.int64), groups)
+        assert len(found) == lists and found.min() >= 0 and found.max() < groups
+
+
 def test_secrets(spark):
     docs = rows(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
     got = {r["doc_id"]: r for r in rows(Q.op9_secret_scan(spark, MIDDLE))}
