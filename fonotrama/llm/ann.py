@@ -8,8 +8,8 @@ lie close to a chosen one, against the vector's own distance (at most ``COPIES``
 
 A query searches the centroids by a best-first walk on their neighbour graph, held in each worker's
 memory, and reads the lists whose distance is within a ratio of the nearest one's. The ratio is the least
-that would have found ``CAUGHT`` of the true neighbours in the sample for queries drawn at random from rows of it that the
-centroids are not fitted on; at least ``FLOOR`` vectors are read. Data without clusters so read many lists. Lists whose centroids
+that would have found ``CAUGHT`` of the true neighbours in the sample, in any list that they stand in, for queries drawn at
+random from rows of it that the centroids are not fitted on; at least ``FLOOR`` vectors are read. Data without clusters so read many lists. Lists whose centroids
 lie together form a group, so a query is sent to the few groups around it, and groups are split by id into blocks of about
 ``BLOCK`` vectors; a task holds one block as a matrix and streams the queries that ask for lists of the group past it. So a
 list of any size is split, and a list asked for by all queries needs no more memory.
@@ -99,6 +99,31 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
+def _own(x: np.ndarray, points: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The list of each row at these prices, and the distance of its nearest centroid."""
+    own, least = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for lo in range(0, len(x), 1024):
+        far = distances(x[lo : lo + 1024], points)
+        own[lo : lo + 1024], least[lo : lo + 1024] = (far + price).argmin(1), far.min(1)
+    return own, least
+
+
+def places(x: np.ndarray, points: np.ndarray) -> list[list[int]]:
+    """The lists that each (lifted) row stands in, its nearest first."""
+    out: list[list[int]] = []
+    for lo in range(0, len(x), 1024):
+        far = distances(x[lo : lo + 1024], points)
+        order = np.argpartition(far, min(COPIES, far.shape[1] - 1), axis=1)[:, :COPIES]
+        order = np.take_along_axis(order, np.take_along_axis(far, order, 1).argsort(1, kind="stable"), 1)
+        for f, cs in zip(far, order.tolist(), strict=True):
+            taken: list[int] = []
+            for c in cs:
+                if not taken or (f[c] <= NEAR * f[taken[0]] and all(((points[c] - points[t]) ** 2).sum() >= 0.25 * f[c] ** 2 for t in taken)):
+                    taken.append(c)
+            out.append(taken)
+    return out
+
+
 def fit(rows: DataFrame, d: int, fit_rows: int = FIT_ROWS, per_list: int = PER_LIST) -> Centroids | None:
     n, norm = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n:
@@ -117,10 +142,9 @@ def fit(rows: DataFrame, d: int, fit_rows: int = FIT_ROWS, per_list: int = PER_L
     points = x[rng.choice(len(x), lists, replace=False)]
     price, fair = np.zeros(lists), len(x) / lists
     for _ in range(10):
-        far = distances(x, points)
-        own = (far + price).argmin(1)
+        own, least = _own(x, points, price)
         size = np.bincount(own, minlength=lists)
-        price = np.maximum(0, price + 0.05 * far.min(1).mean() * (size / fair - 1))
+        price = np.maximum(0, price + 0.05 * least.mean() * (size / fair - 1))
         sums = np.zeros_like(points)
         np.add.at(sums, own, x)
         points = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], x[rng.integers(0, len(x), lists)])
@@ -128,13 +152,17 @@ def fit(rows: DataFrame, d: int, fit_rows: int = FIT_ROWS, per_list: int = PER_L
     graph = near.argsort(1, kind="stable")[:, 1 : 1 + min(16, lists - 1)] if lists > 1 else np.zeros((1, 0), int)
     extra = rng.integers(0, lists, (lists, min(4, lists - 1)))  # long ways, so that the walk reaches every part
     asking = every[apart, :d] * (norm / np.maximum(np.sqrt((every[apart, :d] ** 2).sum(1)), 1e-300))[:, None]
-    ratios = []
-    own, far = distances(every, points).argmin(1), distances(np.concatenate((asking, np.zeros((len(asking), 1))), axis=1), points)
-    for i, (row, q) in enumerate(zip(apart, asking, strict=True)):
+    far = distances(np.concatenate((asking, np.zeros((len(asking), 1))), axis=1), points)
+    tops = []
+    for row, q in zip(apart, asking, strict=True):
         s = every[:, :d] @ q
         s[row] = -np.inf
-        top = np.argsort(-s, kind="stable")[: min(20, len(every) - 1)]
-        ratios.append(far[i, own[top]] / max(far[i].min(), 1e-12))
+        tops.append(np.argsort(-s, kind="stable")[: min(20, len(every) - 1)])
+    ratios = []
+    if tops:
+        found = np.unique(np.concatenate(tops))
+        of = dict(zip(found.tolist(), places(every[found], points), strict=True))
+        ratios = [np.array([f[of[r]].min() for r in top.tolist()]) / max(f.min(), 1e-12) for f, top in zip(far, tops, strict=True)]
     ratio = float(np.quantile(np.concatenate(ratios), CAUGHT)) if ratios else float("inf")
     return Centroids(points, np.concatenate((graph, extra), axis=1), norm, ratio)
 
@@ -143,19 +171,9 @@ def postings(rows: DataFrame, d: int, centroids: Centroids) -> DataFrame:
     """``list, id, v``: each vector in the lists that it belongs to."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        v, out = matrix(batch, d), {"list": [], "row": []}
-        far = distances(lifted(v, centroids.norm), centroids.points)
-        order = np.argpartition(far, min(COPIES, far.shape[1] - 1), axis=1)[:, :COPIES]
-        order = np.take_along_axis(order, np.take_along_axis(far, order, 1).argsort(1, kind="stable"), 1)
-        for i in range(len(v)):
-            taken: list[int] = []
-            for c in order[i].tolist():
-                if not taken or (far[i, c] <= NEAR * far[i, taken[0]] and all(((centroids.points[c] - centroids.points[t]) ** 2).sum() >= 0.25 * far[i, c] ** 2 for t in taken)):
-                    taken.append(c)
-            out["list"] += taken
-            out["row"] += [i] * len(taken)
-        at = pa.array(out["row"], pa.int64())
-        return {"list": out["list"], "id": batch.column("id").take(at), "v": batch.column("v").take(at)}
+        taken = places(lifted(matrix(batch, d), centroids.norm), centroids.points)
+        at = pa.array(np.repeat(np.arange(len(taken)), [len(t) for t in taken]), pa.int64())
+        return {"list": [c for t in taken for c in t], "id": batch.column("id").take(at), "v": batch.column("v").take(at)}
 
     return C.map_rows(rows, run, "list int, id long, v array<double>")
 
