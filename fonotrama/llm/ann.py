@@ -224,12 +224,41 @@ def asked(queries: DataFrame, d: int, centroids: Centroids, sizes: np.ndarray, g
     return C.map_rows(queries, run, "group int, block int, lists array<int>, id long, v array<double>")
 
 
-def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of one vector with several, summed in component order."""
-    out = np.zeros(len(v))
-    for j in range(len(q)):
-        out += q[j] * v[:, j]
-    return out
+def nearest_rows(q: np.ndarray, q_ids: np.ndarray, lists: list[list[int]], block: list[np.ndarray], k: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query_id, vec_id, score`` of the ``k`` best rows of a block (ids, vectors, lists) for each query that reads these lists.
+
+    Scores of the ``wanted`` rows that may be among the best are summed anew in component order; of rows of one id the
+    best counts, and a query that finds fewer ids than ``k`` among them looks at all rows.
+    """
+    ids, v, of = block
+    scores = q @ v.T
+    reads = np.zeros((len(q), int(of.max()) + 1), bool)
+    for i, own in enumerate(lists):
+        reads[i, [c for c in own if c < reads.shape[1]]] = True
+    on = reads[:, of] & (ids != q_ids[:, None])
+    rows = on.sum(1)
+    if len(ids) > wanted:
+        held = np.where(on, scores, -np.inf)
+        least = np.partition(held, len(ids) - wanted, axis=1)[:, len(ids) - wanted, None]
+        on &= ~(scores < least - 1e-9 * (1 + np.where(np.isinf(least), 0, np.abs(least))))
+    at, row = np.nonzero(on)
+    x = np.zeros(len(at))
+    for j in range(v.shape[1]):
+        x += q[at, j] * v[row, j]
+    order = np.lexsort((-x, ids[row], at))
+    at, row, x = at[order], row[order], x[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (ids[row[1:]] != ids[row[:-1]])
+    at, row, x = at[new], row[new], x[new]
+    order = np.lexsort((ids[row], -x, at))
+    at, row, x = at[order], row[order], x[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    again = np.flatnonzero((np.bincount(at, minlength=len(q)) < k) & (rows > wanted))
+    if len(again):
+        first &= ~np.isin(at, again)
+        more = nearest_rows(q[again], q_ids[again], [lists[i] for i in again.tolist()], block, k, len(ids))
+        return tuple(np.concatenate(p) for p in zip((q_ids[at[first]], ids[row[first]], x[first]), more, strict=True))
+    return q_ids[at[first]], ids[row[first]], x[first]
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -273,18 +302,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 if whole is None:
                     whole = [np.concatenate([p[j] for p in parts]) for j in range(3)]
                 for lo in range(a, b, 256):
-                    scores = v[lo : min(lo + 256, b)] @ whole[1].T
-                    for i in range(len(scores)):
-                        read = np.flatnonzero(np.isin(whole[2], lists[lo + i]) & (whole[0] != ids[lo + i]))
-                        s = scores[i, read]
-                        wanted = min(len(s), COPIES * k)
-                        if len(s) > wanted:  # copies of a vector may stand in several lists
-                            least = np.partition(s, len(s) - wanted)[len(s) - wanted]
-                            read = read[s >= least - 1e-9 * (1 + abs(least))]
-                        read = read[np.unique(whole[0][read], return_index=True)[1]]
-                        x = exact(v[lo + i], whole[1][read])
-                        best = np.lexsort((whole[0][read], -x))[:k]
-                        out.append((np.full(len(best), ids[lo + i]), whole[0][read][best], x[best]))
+                    hi = min(lo + 256, b)
+                    out.append(nearest_rows(v[lo:hi], ids[lo:hi], lists[lo:hi], whole, k, COPIES * k))  # copies of a vector may stand in several lists
             if out:
                 yield C.to_batch({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(schema.names)}, schema)
 

@@ -275,6 +275,27 @@ def test_neighbourhoods_of_lists():
         assert len(found) == lists and found.min() >= 0 and found.max() < groups
 
 
+def test_nearest_rows_of_a_block():
+    """Against brute force: lists that are read, ties, ids in several rows, and more rows of one id than are looked at first."""
+    from fonotrama.llm import ann
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (400, 3)).astype(float)
+    ids = np.concatenate((np.full(150, 7), rng.integers(0, 120, 250)))
+    v[:150] = 3 + rng.integers(0, 2, (150, 3))
+    of, q, q_ids = rng.integers(0, 6, 400), rng.integers(1, 3, (9, 3)).astype(float), np.arange(0, 18, 2)
+    lists = [sorted(rng.choice(9, 4, replace=False).tolist()) for _ in q]
+    got = ann.nearest_rows(q, q_ids, lists, [ids, v, of], 5, 15)
+    want = []
+    for x, i, own in zip(q, q_ids.tolist(), lists, strict=True):
+        best: dict = {}
+        for j, y, c in zip(ids.tolist(), v, of.tolist(), strict=True):
+            if c in own and j != i:
+                best[j] = max(best.get(j, -np.inf), float(x @ y))
+        want += [(i, j, s) for j, s in sorted(best.items(), key=lambda e: (-e[1], e[0]))[:5]]
+    assert sorted(zip(*(g.tolist() for g in got), strict=True)) == sorted(want)
+
+
 def test_secrets(spark):
     docs = rows(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
     got = {r["doc_id"]: r for r in rows(Q.op9_secret_scan(spark, MIDDLE))}
