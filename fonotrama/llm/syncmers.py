@@ -8,8 +8,8 @@ the likeness of two is the share of the least ``SKETCH`` of their union that bot
 similarity of the anchor sets, exact where these are smaller than the sketch.
 
 Defined results: a null text is empty; a text without an anchor, as one of under k code points, is
-fingerprinted as a whole; equal texts have equal fingerprints, and likeness 1. Rows are ordered by id, then text; a null id counts as
-the least id less one; the row after the last is the first, so a single row follows itself; an empty
+fingerprinted as a whole; equal texts have equal fingerprints, and likeness 1. Rows are ordered by id, a null one first; rows of one
+id by a hash of the text, then by the text; the row after the last is the first, so a single row follows itself; an empty
 table gives an empty result.
 """
 
@@ -26,8 +26,8 @@ K, S = 16, 6
 SKETCH = 64
 #: Code points that are scanned at a time.
 BLOCK = 2048
-#: The most id ranges that rows are dealt into, and so the most rows of the broadcast table of range heads.
-MOST_RANGES = 1 << 18
+#: Ranges of rows for each shuffle partition, and the most of them; rows that are drawn for each range's start.
+RANGES, MOST_RANGES, DRAWN = 32, 1 << 16, 16
 
 
 def _marked(block: Column, first: Column, k: int, s: int) -> Column:
@@ -103,26 +103,31 @@ def anchor_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``doc_id, text, marks, sketch``, and the following row's as ``next_*``, by one exchange of the texts.
 
-    Rows are dealt by id range; the first row of each range is also sent to the range before it.
+    Rows are dealt by ranges of their place in the order, as even as a draw of ``DRAWN`` rows for each makes them however
+    the ids are spread; a range starts at a row of the table, and that row is also sent to the range before it.
     """
-    spark = docs.sparkSession
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    low = max(-(2**63), (low if low is not None else 0) - 1)
-    shift = 6
-    while ((high if high is not None else low) >> shift) - (low >> shift) >= MOST_RANGES:
-        shift += 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(low)).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", F.shiftright("key", shift))
-    heads = rows.groupBy("range").agg(F.min("key").alias("key"))
-    line = Window.orderBy("range")  # at most MOST_RANGES rows
-    heads = heads.select("key", F.coalesce(F.lag("range").over(line), F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    dealt = rows.join(F.broadcast(heads), "key", "left")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, RANGES * parts)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64("text").alias("hash"))
+    rows = rows.withColumn("place", place)
+    drawn = F.when(F.rand(1) < ranges * DRAWN / max(1, docs.count()), F.col("place"))
+    starts = rows.select("place", drawn.alias("drawn")).agg(F.min("place").alias("first"), F.sort_array(F.collect_list("drawn")).alias("drawn"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda i: F.get("drawn", F.floor(i * F.size("drawn") / ranges).cast("int")))
+    starts = starts.select(F.array_distinct(F.array_compact(F.concat(F.array("first"), even))).alias("starts"))
+
+    def upper(low: Column, step: Column) -> Column:
+        return F.when(F.get("starts", low + step) <= F.col("place"), low + step).otherwise(low)
+
+    steps = [F.lit(1 << b) for b in reversed(range(MOST_RANGES.bit_length()))]
+    rows = rows.withColumn("starts", starts.scalar()).withColumn("range", F.aggregate(F.array(*steps), F.lit(0), upper))
+    before = F.when(F.col("range") == 0, F.size("starts") - 1).otherwise(F.col("range") - 1)
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("copy"))
-    twice = F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("copy")))
-    dealt = dealt.select("doc_id", "key", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(twice)).alias("to"))
-    dealt = dealt.select("doc_id", "key", "text", "to.range", "to.copy").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
+    twice = F.array(own, F.struct(before.alias("range"), F.lit(True).alias("copy")))
+    dealt = rows.select("doc_id", "place", "text", F.explode(F.when(F.get("starts", "range") == F.col("place"), twice).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select("doc_id", "place", "text", "to.range", "to.copy").repartition(parts, "range")
     dealt = dealt.withColumn("marks", anchors(F.col("text"))).withColumn("sketch", sketch(F.col("marks"), F.col("text")))
-    by = Window.partitionBy("range").orderBy("copy", "key", "text")
+    by = Window.partitionBy("range").orderBy("copy", "place", "text")
     return dealt.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("text", "marks", "sketch")}).where(~F.col("copy"))
 
 

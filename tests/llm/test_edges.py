@@ -146,3 +146,18 @@ def test_near_duplicates_of_a_large_family(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
     assert got == {i: i % 1400 for i, _ in rows}
+
+
+def test_fingerprints_of_spread_ids(spark):
+    """An outlying id, a hot one and missing ones leave the rows evenly dealt, each with its true successor."""
+    ids = [*range(400), 2**62, -(2**62), *[7] * 400, *[None] * 400]
+    data = [(i, f"text number {n} of id {i}, " * (n % 3)) for n, i in enumerate(ids)]
+    rows = syncmers.with_next(spark.createDataFrame(data, "doc_id long, text string").repartition(5), "doc_id", "text").select("doc_id", "place", "text", "next_text", "range").collect()
+    rows.sort(key=lambda r: (r["place"], r["text"]))
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in rows) == sorted((i or -1, t) for i, t in data)
+    assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r["next_text"] for r in rows] == [r["text"] for r in rows[1:] + rows[:1]]
+    sizes = {}
+    for r in rows:
+        sizes[r["range"]] = sizes.get(r["range"], 0) + 1
+    assert len(sizes) > 30 and max(sizes.values()) < 0.15 * len(rows)
