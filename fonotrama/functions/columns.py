@@ -130,6 +130,11 @@ def integer_words(n: Column, feminine: bool = False) -> Column:
     return F.when((n < 0) & (whole < F.lit(10**18)), F.concat(F.lit("menos "), text)).otherwise(text)
 
 
+def year_words(year: Column) -> Column:
+    """NUM5: a year is read as a masculine integer."""
+    return integer_words(year)
+
+
 def ordinal_words(n: Column, feminine: bool = False) -> Column:
     table = F.array(*[F.lit(spelling.ordinal(i, feminine)) for i in range(1000)])
     return F.when((n > 0) & (n < 1000), F.get(table, n.cast("int"))).otherwise(integer_words(n, feminine))

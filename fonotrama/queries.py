@@ -171,6 +171,11 @@ def number_words_feminine(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).distinct().select("n", X.integer_words(F.col("n"), True).alias("words"))
 
 
+@query(f"WITH {sql_integer('year(o_orderdate)', 'orders')} SELECT v AS year, said AS words FROM said")
+def year_words(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct().select("year", X.year_words(F.col("year")).alias("words"))
+
+
 _NTH = ["[" + ", ".join(map(q, t.values())) + "]" for t in spelling._NTH]
 
 
@@ -221,12 +226,30 @@ def normalise_full(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalised("text").alias("text"))
 
 
-@query()
+# written out here too: abbreviations that end no sentence
+NO_BREAK_LIST = ", ".join(map(q, "sr sra srta dr dra prof profa eng exmo av r pç ed apto ap pág pag fig obs ex etc cia ltda núm no tel cel jan fev mar abr mai jun jul ago set out nov dez seg ter qua qui sex sáb dom vs p pp".split()))
+_WHITE = "\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}"
+
+
+def sql_sentences(key: str, source: str) -> str:
+    """CTEs up to ``sentences`` (doc, sent, sentence): runs of text, marks and empty lines, cut after those that end a sentence."""
+    word = f"lower(regexp_replace(regexp_extract(right(substr(t, 1, b - length(p)), 80), '[^{_WHITE}]*$'), '[^\\p{{L}}0-9]', '', 'g'))"
+    return f"""whole AS (SELECT {key} AS doc, replace(text, chr(13) || chr(10), chr(10)) AS t FROM {source}),
+    run AS (SELECT doc, t, unnest(range(len(l))) AS i, unnest(l) AS p FROM (SELECT doc, t, regexp_extract_all(t, '\\n\\n|[.!?…]+["'')\\]}}”»…]*|[^\\n.!?…]+|\\n') AS l FROM whole)),
+    placed AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY doc ORDER BY i) AS BIGINT) AS b FROM run),
+    cut AS (SELECT doc, i, p, CASE WHEN p = chr(10) || chr(10) THEN 1 WHEN NOT regexp_matches(p, '^[.!?…]') THEN 0 WHEN b < length(t) AND NOT regexp_matches(substr(t, b + 1, 1), '[{_WHITE}]') THEN 0
+    WHEN regexp_matches(substr(t, b + 1), '^[{_WHITE}]*[\\p{{Ll}}ªº0-9]') THEN 0 WHEN p[1] = '.' AND ({word} IN ({NO_BREAK_LIST}) OR regexp_matches({word}, '^\\p{{L}}$')) THEN 0 ELSE 1 END AS ends FROM placed),
+    part_of AS (SELECT doc, i, p, coalesce(sum(ends) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM cut),
+    joined AS (SELECT doc, g, regexp_replace(regexp_replace(string_agg(p, '' ORDER BY i), '^[{_WHITE}]+', ''), '[{_WHITE}]+$', '') AS sentence FROM part_of GROUP BY doc, g),
+    sentences AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY g) - 1 AS INTEGER) AS sent, sentence FROM joined WHERE sentence <> '')"""
+
+
+@query(f"WITH {sql_sentences('doc_id', 'documents')} SELECT doc, sent, sentence FROM sentences")
 def sentence_split(spark, sf_dir):
     return P.sentence_rows(table(spark, sf_dir, "documents"), normalise=False)
 
 
-@query()
+@query(f"WITH {sql_sentences('(conv_id, turn)', 'conversations')} SELECT doc[1] AS conv_id, count(*) AS sentences, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM sentences GROUP BY 1")
 def sentence_stats(spark, sf_dir):
     rows = P.sentence_rows(table(spark, sf_dir, "conversations").withColumn("id", F.struct("conv_id", "turn")), "id", normalise=False)
     return rows.groupBy(F.col("doc.conv_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
@@ -305,13 +328,15 @@ def lexicon_resolve(spark, sf_dir):
     return heard.groupBy("word", "layer", F.when(F.col("layer") != "rules", F.col("base")).alias("base")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LAYERED = "(VALUES ('casa', 'kˈaza', 0), ('casa', 'kˈazæ', 1), ('dia', 'dʒˈiæ', 0), ('sol', 'sˈɔw', 1), ('dia', 'dʒˈia', 2)) t(word, ipa, layer)"
-
-
-@query(f"SELECT word, arg_max(ipa, layer) AS ipa FROM {_LAYERED} GROUP BY word")
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), l AS (SELECT word, word AS ipa, 0 AS layer FROM w UNION ALL SELECT word, word || 'ˈ', 1 FROM w WHERE length(word) % 2 = 1
+    UNION ALL SELECT word, 'ˈ' || word, 2 FROM w WHERE word < 'h') SELECT word, arg_max(ipa, layer) AS ipa FROM l GROUP BY word"""
+)
 def lexicon_layers(spark, sf_dir):
-    made = lambda d: L.from_mapping(spark, d)
-    return L.layered(made({"casa": "kˈaza", "dia": "dʒˈiæ"}), made({"casa": "kˈazæ", "sol": "sˈɔw"}), made({"dia": "dʒˈia"}))
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    made = lambda ipa, kept: words.where(kept).select("word", ipa.alias("ipa"))
+    word, stress = F.col("word"), F.lit("ˈ")
+    return L.layered(made(word, F.lit(True)), made(F.concat(word, stress), F.length(word) % 2 == 1), made(F.concat(stress, word), word < "h"))
 
 
 @query()
@@ -547,7 +572,13 @@ def context_lexicon_pairs(spark, sf_dir):
     return mining.context_lexicon(_pairs(spark, sf_dir), with_next=True)
 
 
-@query()
+@query(
+    f"""WITH {_OUT}, nm AS (SELECT sent_id, tt, tb, len(tt) AS n, len(tb) AS m, list_sum(list_transform(tt, lambda w: length(w))) AS letters FROM lists WHERE len(tt) > 0 AND len(tb) > 0 AND abs(len(tt) - len(tb)) <= greatest(len(tt), len(tb)) // 2),
+    ends AS (SELECT *, CASE WHEN m > n THEN list_reduce([[0::BIGINT]] || list_transform(range(n), lambda i: [length(tt[i + 1]), n - 1 - i]), lambda a, x: a || [greatest(a[-1] + 1, least(a[-1] + greatest(1, CAST(round_even(x[1] / letters * m, 0) AS BIGINT)), m - x[2]))])
+    WHEN m < n THEN list_reduce([[0::BIGINT]] || list_transform(range(m), lambda i: [m - i]), lambda a, x: a || [CASE WHEN x[1] = 1 THEN n ELSE least(n, a[-1] + greatest(1, CAST(round_even((n - a[-1]) / x[1], 0) AS BIGINT))) END]) END AS e FROM nm),
+    pair AS (SELECT sent_id, i, CASE WHEN m >= n THEN tt[i + 1] ELSE tt[e[i + 1] + 1] END AS word, CASE WHEN m > n THEN array_to_string(tb[e[i + 1] + 1:e[i + 2]], '') ELSE tb[i + 1] END AS ipa, m >= n OR e[i + 2] - e[i + 1] = 1 AS kept FROM (SELECT *, unnest(range(least(n, m))) AS i FROM ends))
+    SELECT sent_id, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY i) - 1 AS INTEGER) AS pos, word, ipa FROM pair WHERE kept"""
+)
 def approximate_alignment(spark, sf_dir):
     return mining.approximate_pairs(outputs(spark, sf_dir))
 

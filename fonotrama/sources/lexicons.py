@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +47,14 @@ def flat(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("j").alias("word", "ipa")).where("ipa IS NOT NULL")
 
 
+def lookup_paths(stem: str, beside: str | None = None, prefix: str = "FONOTRAMA_") -> list[str]:
+    """IO3: where a dictionary is looked for, in order: the path in the environment, then the file beside the program, in the
+    working folder, and in its ``data`` and ``cache`` folders. For ``first_filled``; resolved on the driver."""
+    named = os.environ.get(prefix + stem.upper())
+    folders = [*([beside] if beside else []), os.getcwd(), *(os.path.join(os.getcwd(), d) for d in ("data", "cache"))]
+    return [*([named] if named else []), *(f"file://{os.path.join(os.path.abspath(d), stem)}.json" for d in folders)]
+
+
 def first_filled(spark: SparkSession, paths: list[str]) -> DataFrame:
     """IO3: the first of several files that has entries."""
     for path in paths:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fonotrama import queries as Q
+from fonotrama.functions import normalise
 from fonotrama.operators import compare, mining
 from fonotrama.plans import phonemes as P
 from fonotrama.sources import corpora
@@ -65,6 +66,28 @@ def test_layers_and_files(spark, tmp_path):
     assert L.flat(spark, str(tmp_path / "none.json")).isEmpty()
 
 
+def test_lookup_order(monkeypatch, tmp_path):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("FONOTRAMA_LEXICO", "hdfs:///shared/lexico.json")
+    here = f"file://{tmp_path}"
+    assert L.lookup_paths("lexico", "/opt/program") == ["hdfs:///shared/lexico.json", "file:///opt/program/lexico.json", *(f"{here}{d}/lexico.json" for d in ("", "/data", "/cache"))]
+    monkeypatch.delenv("FONOTRAMA_LEXICO")
+    assert L.lookup_paths("lexico")[0] == f"{here}/lexico.json"
+
+
+def test_sentence_sql():
+    """The SQL cuts odd texts where the splitter does."""
+    texts = [
+        "O Sr. Silva chegou. Depois saiu!", "Fim.\n\n\nNovo", "a.b.c. D. E", "Ver p. 3. Outra", "Ele disse \"oi.\" Ela riu", "Que?! Sim... não. Não", "x\r\n\r\ny", "", "  ", "...", "Fim.\u00a0Outro. \u2003Ponto. 9 casas",
+        "a." * 90 + " B", "Dra. Ana (av. Brasil). (Talvez.) 'Sim.' Ok", "º. Um º. ªb. Ç. D", "\n.\n\n.\n", "Olá…» Bem … fim", "Sáb. Dom. Hoje.", "Não. \x1cSim. \x0bJá.",
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), (99, None)])
+    want = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(normalise.sentences(t))]
+    assert sorted(con.execute(Q.SQL["sentence_split"]).fetchall()) == want
+
+
 def test_corpora(spark, tmp_path):
     (tmp_path / "c.txt").write_text(" um \n\ndois\n", encoding="utf-8")
     assert [r.sentence for r in corpora.lines(spark, str(tmp_path / "c.txt")).collect()] == ["um", "dois"]
