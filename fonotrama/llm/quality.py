@@ -3,9 +3,13 @@
 Heuristic labellers vote good, bad or nothing on a document. Expectation-maximisation over the counts of
 all vote patterns estimates, for either class, how often each labeller casts each vote, and how common
 the class is; no label is read. The posterior of a document's votes then is the target of a logistic
-regression over hashed features (shape trigrams, runs, repetition), fitted on a bounded sample. Its score is the
-probability of a good document, and it alone decides: those below a threshold are rejected. The threshold is the
-greatest, up to ``KEEP``, that keeps ``STAY`` of the sample's documents that the label model takes for good.
+regression over hashed features (shape trigrams, runs, repetition). Its score is the probability of a good document,
+and it alone decides: those below a threshold are rejected. The threshold is the greatest, up to ``KEEP``, that keeps
+``STAY`` of the documents that the label model takes for good.
+
+Votes, weights and threshold come from every document with a word. Features are worked out once and settled; each pass
+over them gives the loss and its gradient at one point to L-BFGS, until no slope is over ``STEEP`` or ``PASSES`` are done.
+Sums are of whole numbers, so how the rows are dealt does not matter. The threshold is an exact order statistic.
 
 Defined results: a null text is empty; on texts of fewer than ``FEW`` words only the labellers of ``SHORT`` vote, and
 not for a first occurrence; a text without any character gets score 0 and is rejected; repeated rows get equal
@@ -15,6 +19,7 @@ scores; an empty table gives an empty result. Whole texts are read.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents that the scorer is fitted on, about; at most twice as many.
-FIT_ROWS = 6000
 FEATURES = 4096
+#: The fit ends when no slope of the mean loss is steeper, or after so many passes; price of squared weights; steps remembered.
+STEEP, PASSES, PRICE, REMEMBERED = 1e-4, 60, 1e-5, 10
 FEW = 16
 KEEP, STAY = 0.5, 0.999
 GOOD, NONE, BAD = 1, 0, -1
@@ -182,19 +187,24 @@ class LabelModel:
         return np.where(silent, self.prior, 1 / (1 + np.exp(np.clip(bad - good, -60, 60))))
 
 
-def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+def learnt_from(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The vote pattern and the features of every document, settled; no features without a word."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        seen = [measure(t) for t in C.texts_of(batch)]
+        made = [features(m, g) if n else None for m, g, n in seen]
+        return {"pattern": [pattern_of(votes(m, n)) for m, _, n in seen], "at": [f and f[0].astype(np.uint16).tobytes() for f in made], "x": [f and f[1].tobytes() for f in made]}
 
+    return C.settle(C.map_rows(docs.select(F.col(text).alias("text")), run, "pattern long, at binary, x binary"))
 
-def vote_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict[int, int]:
-    """How many documents have each vote pattern (at most 3 to the number of labellers)."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        p = np.array([pattern_of(votes(m, n)) for m, _, n in map(measure, C.texts_of(batch))])
-        k, c = np.unique(p, return_counts=True)
-        return {"pattern": k, "n": c}
+def logits(weights: np.ndarray, bias: float, at: np.ndarray, x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Of ``n`` documents, each the same to the last bit whatever stands beside it."""
+    return np.bincount(row, weights[at] * x, n) + bias
 
-    return {r["pattern"]: r["n"] for r in C.map_rows(_rows(docs, id_col, text), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+
+def chance_of(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
@@ -211,46 +221,126 @@ class Quality:
         if not words:
             return 0.0, v, post
         at, x = features(got, grams)
-        z = float(self.weights[at] @ x) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), v, post
+        return float(chance_of(logits(self.weights, self.bias, at, x, np.zeros(len(at), np.int64), 1))[0]), v, post
 
     def keeps(self, value: float) -> bool:
         return value > 0 and value >= self.threshold
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> Quality:
-    model = LabelModel.fit(counts := vote_counts(docs, id_col, text))
-    total = sum(counts.values())
-    weights, bias = np.zeros(FEATURES), 0.0
-    if not total:
-        return Quality(model, weights, bias)
-    draw = F.pmod(F.xxhash64("id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        seen = [(g, t, n) for g, t, n in map(measure, C.texts_of(batch)) if n]
-        made = [features(g, t) for g, t, _ in seen]
-        return {"at": [m[0] for m in made], "x": [m[1] for m in made], "pattern": [pattern_of(votes(g, n)) for g, _, n in seen]}
-
-    rows = C.map_rows(_rows(docs, id_col, text).where(draw < min(1.0, fit_rows / total)).limit(2 * fit_rows), run, "at array<int>, x array<float>, pattern long").toPandas()
-    if not len(rows):
-        return Quality(model, weights, bias)
-    at, x = [np.asarray(a) for a in rows["at"]], [np.asarray(a, float) for a in rows["x"]]
-    order = sorted(range(len(rows)), key=lambda i: (rows["pattern"][i], len(at[i]), float(x[i].sum())))  # whatever the partitions
-    at, x = [at[i] for i in order], [x[i] for i in order]
-    y = model.posterior(np.array([votes_of(rows["pattern"][i]) for i in order]) + 1)
-    rng, square = np.random.default_rng(3), np.full(FEATURES, 1e-6)
-    balance = np.where(y >= 0.5, 1.0, min(5.0, max(1.0, (y >= 0.5).sum() / max(1, (y < 0.5).sum()))))
-    for _ in range(12):
-        for i in rng.permutation(len(y)):
-            z = weights[at[i]] @ x[i] + bias
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * balance[i]
-            g = d * x[i]
-            np.add.at(square, at[i], g * g)
-            np.subtract.at(weights, at[i], 0.3 * g / np.sqrt(square[at[i]]))
-            bias -= 0.01 * d
-    z = np.array([weights[a] @ v + bias for a, v in zip(at, x, strict=True)])[y >= 0.5]
-    held = np.sort(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-    return Quality(model, weights, bias, min(KEEP, float(held[int((1 - STAY) * len(held))])) if len(held) else KEEP)
+@dataclass
+class Targets:
+    """What the label model makes of each vote pattern that occurs in documents with words, and how many these are."""
+
+    patterns: np.ndarray  # ascending
+    good: np.ndarray
+    count: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.n, self.n_good = int(self.count.sum()), int(self.count[self.good >= 0.5].sum())
+        self.balance = np.where(self.good >= 0.5, 1.0, min(5.0, max(1.0, self.n_good / max(1, self.n - self.n_good))))
+        self.unit = 2.0 ** min(30, 50 - self.n.bit_length())  # sums of whole units fit 64 bits, a batch's 53
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Places in ``patterns``, features (at, x, row) and number of rows, batch by batch."""
+        for batch in C.slices(batches):
+            held = batch.column("at").to_pylist()
+            at, x = np.frombuffer(b"".join(held), np.uint16), np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32)
+            row = np.repeat(np.arange(len(held)), np.fromiter((len(b) // 2 for b in held), np.int64, len(held)))
+            yield np.searchsorted(self.patterns, batch.column("pattern").to_numpy()), at, x, row, len(held)
+
+    def loss(self, rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean loss over all ``rows`` with the price of the weights, and its gradient; the bias stands last in ``point``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(FEATURES + 2, np.int64)  # weights, bias, loss
+            for place, at, x, row, n in self.blocks(batches):
+                z, y, balance = logits(point[:-1], point[-1], at, x, row, n), self.good[place], self.balance[place] * self.unit
+                d = (chance_of(z) - y) * balance
+                z = np.clip(z, -700, 700)
+                sums[:FEATURES] += np.bincount(at, np.rint(d[row] * x), FEATURES).astype(np.int64)
+                sums[FEATURES] += int(np.rint(d).sum())
+                sums[FEATURES + 1] += int(np.rint((np.logaddexp(0, z) - y * z) * balance).sum())
+            on = np.flatnonzero(sums)
+            yield C.to_batch({"at": on, "units": sums[on]}, target)
+
+        target, sums = C.arrow_schema("at int, units long"), np.zeros(FEATURES + 2)
+        for r in rows.mapInArrow(run, "at int, units long").groupBy("at").agg(F.sum("units").alias("units")).collect():
+            sums[r["at"]] = r["units"] / self.unit / self.n
+        slope = sums[:-1] + np.append(PRICE * point[:-1], 0.0)
+        return float(sums[-1] + PRICE / 2 * point[:-1] @ point[:-1]), slope
+
+    def threshold(self, rows: DataFrame, weights: np.ndarray, bias: float) -> float:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for place, at, x, row, n in self.blocks(batches):
+                p = chance_of(logits(weights, bias, at, x, row, n))
+                yield C.to_batch({"bits": p[(self.good[place] >= 0.5) & (p < KEEP)].view(np.int64)}, target)
+
+        target = C.arrow_schema("bits long")
+        bits = least(rows.mapInArrow(run, "bits long"), int((1 - STAY) * self.n_good))
+        return KEEP if bits is None else float(np.int64(bits).view(np.float64))
+
+
+def least(rows: DataFrame, k: int) -> int | None:
+    """The value of ``bits`` (no negative one) with exactly ``k`` rows before it in order, by 16 bits at a time; none if there are no more than ``k``."""
+    value = None
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("bits", shift)
+        held = rows if value is None else rows.where(F.shiftright("bits", shift + 16) == value)
+        for r in sorted(held.groupBy(part.alias("part")).count().collect()):
+            if k < r["count"]:
+                value = r["part"]
+                break
+            k -= r["count"]
+        else:
+            return None
+    return value
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int) -> np.ndarray:
+    """L-BFGS from zero; a step that does not lower the loss is halved."""
+    point, past, passes = np.zeros(size), [], 1
+    value, slope = loss(point)
+    while np.abs(slope).max() > STEEP:
+        way, used = slope.copy(), []
+        for s, y in reversed(past):
+            used.append(s @ way / (s @ y))
+            way -= used[-1] * y
+        if past:
+            way *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(used), strict=True):
+            way += s * (a - y @ way / (s @ y))
+        step = 1.0
+        while True:
+            if passes >= PASSES:
+                return point
+            there = point - step * way
+            lower, new = loss(there)
+            passes += 1
+            if lower <= value - 1e-4 * step * (way @ slope):
+                break
+            step /= 2
+        if (there - point) @ (new - slope) > 0:
+            past = [*past, (there - point, new - slope)][-REMEMBERED:]
+        point, value, slope = there, lower, new
+    return point
+
+
+def fit(docs: DataFrame, text: str = "text") -> Quality:
+    held = learnt_from(docs, text)
+    worded = F.col("at").isNotNull()
+    counts = sorted(held.groupBy("pattern").agg(F.count("*").alias("n"), F.count(F.when(worded, 1)).alias("worded")).collect())
+    model = LabelModel.fit({r["pattern"]: r["n"] for r in counts})
+    seen = [(r["pattern"], r["worded"]) for r in counts if r["worded"]]
+    if not seen:
+        C.forget(held)
+        return Quality(model, np.zeros(FEATURES), 0.0)
+    patterns, count = np.array(seen).T
+    targets, rows = Targets(patterns, model.posterior(np.array([votes_of(p) for p in patterns]) + 1), count), held.where(worded)
+    point = minimise(lambda p: targets.loss(rows, p), FEATURES + 1)
+    weights, bias = point[:-1], float(point[-1])
+    quality = Quality(model, weights, bias, targets.threshold(rows, weights, bias))
+    C.forget(held)
+    return quality
 
 
 def score(docs: DataFrame, quality: Quality, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,6 +198,47 @@ def test_quality(spark):
     assert np.mean(kept_good) > 0.99 and np.mean(kept_bad) < 0.05
 
 
+def test_quality_learns_from_every_document(spark):
+    """Each feature of any document has a weight, weights are a minimum over all documents, the threshold an order statistic of all."""
+    from fonotrama.llm import quality
+
+    rng = np.random.default_rng(5)
+    words = "the of a storm and in harbour was it on lantern to that gate is kept by her old river".split()
+    texts = [" ".join(rng.choice(words, int(n))) + "." for n in rng.integers(20, 50, 20_000)]
+    for i in range(0, 20_000, 7):
+        texts[i] = " ".join(f"{w} |" if j % 2 else f"{w} #" for j, w in enumerate(texts[i].split()))
+    for i, odd in enumerate(("!!|", "|7#", '"#!', "7!7", "#7|", '!"|', "||7", '#"7', "7|!", "!#7")):
+        texts[1501 * i + 1] += " " + odd
+    texts += ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = quality.fit(df)
+    made = [(m, quality.features(m, g), n) for m, g, n in map(quality.measure, texts[:20_000])]
+    assert set(np.flatnonzero(got.weights)) == set(np.concatenate([f[0] for _, f, _ in made]).tolist())
+    y = got.labels.posterior(np.array([quality.votes(m, n) for m, _, n in made]) + 1)
+    z = np.array([got.weights[f[0]] @ f[1].astype(float) for _, f, _ in made]) + got.bias
+    p, balance = 1 / (1 + np.exp(-z)), np.where(y >= 0.5, 1, min(5, max(1, (y >= 0.5).sum() / (y < 0.5).sum())))
+    slope = 1e-5 * got.weights
+    for d, (_, f, _) in zip((p - y) * balance / len(y), made, strict=True):
+        np.add.at(slope, f[0], d * f[1])
+    assert np.abs(slope).max() < 1.1e-4
+    held = np.sort(p[y >= 0.5])
+    assert got.threshold == pytest.approx(min(0.5, held[int(0.001 * len(held))]))
+    again = quality.fit(df.repartition(2))
+    assert (again.weights == got.weights).all() and (again.bias, again.threshold) == (got.bias, got.threshold)
+
+
+def test_quality_order_statistic(spark):
+    from pyspark.sql import functions as F
+
+    from fonotrama.llm import quality
+
+    values = np.random.default_rng(6).random(3000).round(3) / 2
+    df = spark.createDataFrame([(int(b),) for b in values.view(np.int64)], "bits long")
+    for k in (0, 1, 77, 1500, 2999):
+        assert np.int64(quality.least(df, k)).view(np.float64) == np.sort(values)[k]
+    assert quality.least(df, 3000) is None and quality.least(df.where(F.lit(False)), 0) is None
+
+
 def test_byte_bpe(spark, docs):
     import base64
 
