@@ -208,16 +208,17 @@ def base_ipa(ipa: Column) -> Column:
 
 
 def decomposed(c: Column) -> Column:
-    """NFD over the letters that texts and phoneme strings of the language hold."""
+    """NFD over the letters that texts and phoneme strings of the language hold: each mark is set behind its letters, then these lose it."""
     out = c
-    for one, two in COMPOSED.items():
-        out = F.replace(out, F.lit(one), F.lit(two))
+    for mark in sorted({two[1] for two in COMPOSED.values()}):
+        out = F.regexp_replace(out, f"([{''.join(one for one, two in COMPOSED.items() if two[1] == mark)}])", f"$1{mark}")
+    out = F.translate(out, "".join(COMPOSED), "".join(two[0] for two in COMPOSED.values()))
     return F.when(c.rlike(f"[{''.join(COMPOSED)}]"), out).otherwise(c)
 
 
 def plain_ipa(c: Column) -> Column:
     """CM1: comparable form; null as empty."""
-    c = decomposed(F.translate(F.coalesce(c, F.lit("")), "‍‌", ""))
+    c = decomposed(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u200d"), F.lit("")), F.lit("\u200c"), F.lit("")))
     c = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("g"), F.lit("ɡ")), "ˈ{2,}", "ˈ"), "̃{2,}", "̃")
     return F.trim(c)
 
@@ -273,15 +274,19 @@ def text_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def bare(word: Column) -> Column:
+    """In lower case, without the hyphens and quotes around it."""
+    return F.btrim(F.lower(word), F.lit("'-"))
+
+
 def ipa_words(ipa: Column) -> Column:
-    edge = "[;:,.!?¡¿—…\"«»“”(){}]"  # a fixed value
-    parts = F.transform(F.split(F.trim(ipa), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, f"^{edge}+", ""), f"{edge}+$", ""))
-    return F.filter(parts, lambda w: w != "")
+    edge = ";:,.!?¡¿—…\"«»“”(){}"  # a fixed value
+    return F.regexp_extract_all(ipa, F.lit(rf"[^\s{edge}](?:\S*[^\s{edge}])?"), F.lit(0))
 
 
 def divergence(a: Column, b: Column) -> Column:
     """CM7: in what two readings of a word differ."""
-    without = lambda c, marks: F.translate(c, marks, "")
+    without = lambda c, marks: without(F.replace(c, F.lit(marks[0]), F.lit("")), marks[1:]) if marks else c
     apart = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
     more = F.abs(F.length(a) - F.length(b))
     unmarked = without(a, "ˈˌ") == without(b, "ˈˌ")

@@ -28,10 +28,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _bare(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "^['-]+", ""), "['-]+$", "")
-
-
 def _not_speakable(word: Column) -> Column:
     """Not letters only, or an abbreviation: such words are left out of comparisons."""
     return word.rlike(r"[^\p{L}]") | F.lower(word).isin(*ABBREVIATIONS)
@@ -39,8 +35,8 @@ def _not_speakable(word: Column) -> Column:
 
 def word_occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, skipped``: every part of two and more characters of every token (CM4, before it is made distinct)."""
-    tokens = docs.select(F.explode(X.text_words(F.col(text))).alias("t")).select(_bare(F.col("t")).alias("w")).where(F.length("w") >= 2)
-    parts = F.filter(F.transform(F.split("w", "-"), _bare), lambda p: F.length(p) >= 2)
+    tokens = docs.select(F.explode(X.text_words(F.col(text))).alias("t")).select(X.bare(F.col("t")).alias("w")).where(F.length("w") >= 2)
+    parts = F.filter(F.transform(F.split("w", "-"), X.bare), lambda p: F.length(p) >= 2)
     return tokens.select(F.explode(F.when(F.col("w").contains("-"), parts).otherwise(F.array("w"))).alias("word")).select("word", _not_speakable(F.col("word")).alias("skipped"))
 
 
@@ -83,17 +79,34 @@ def compare_sentences(outputs: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(X.plain_ipa(F.col("ipa_a")) == X.plain_ipa(F.col("ipa_b"))).alias("matched"))
 
 
-def _token_lists(outputs: DataFrame) -> DataFrame:
+def _token_lists(outputs: DataFrame, *keep: str) -> DataFrame:
     rows = outputs.where("ipa_a IS NOT NULL AND ipa_b IS NOT NULL")
-    return rows.select("sent_id", X.ipa_words(X.plain_ipa(F.col("ipa_a"))).alias("ta"), X.ipa_words(X.plain_ipa(F.col("ipa_b"))).alias("tb"), X.text_words(F.col("sentence")).alias("tt"))
+    return rows.select("sent_id", *keep, X.ipa_words(X.plain_ipa(F.col("ipa_a"))).alias("ta"), X.ipa_words(X.plain_ipa(F.col("ipa_b"))).alias("tb"), X.text_words(F.col("sentence")).alias("tt"))
+
 
+def _label(word: Column, at: Column) -> Column:
+    return F.coalesce(F.lower(word), F.concat(F.lit("["), at.cast("string"), F.lit("]")))
 
-def aligned(outputs: DataFrame) -> DataFrame:
-    """CM10: ``sent_id, pos, word, ipa_a, ipa_b`` of sentences with as many tokens on either side."""
-    lists = _token_lists(outputs).where(F.size("ta") == F.size("tb"))
-    rows = lists.select("sent_id", "tt", F.posexplode(F.arrays_zip("ta", "tb")).alias("pos", "x"))
-    label = F.coalesce(F.lower(F.get("tt", F.col("pos"))), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-    return rows.select("sent_id", "pos", label.alias("word"), F.col("x.ta").alias("ipa_a"), F.col("x.tb").alias("ipa_b"))
+
+def aligned(outputs: DataFrame, *keep: str, around: bool = False) -> DataFrame:
+    """CM10: ``sent_id, pos, word, ipa_a, ipa_b`` of sentences with as many tokens on either side, and the columns to ``keep``;
+    ``around`` adds ``anterior`` and ``proxima``, the words before and after, and ``total``, the tokens of the sentence.
+
+    A sentence's lists are zipped before they are exploded, so that no token's row carries a list.
+    """
+    n = F.size("ta")
+    columns = {"ta": F.col("ta"), "tb": F.col("tb"), "w": F.slice("tt", F.lit(1), n)}
+    if around:
+        fewer = F.greatest(n - 1, F.lit(0))
+        columns |= {"after": F.slice("tt", F.lit(2), fewer), "before": F.concat(F.array(F.lit(None).cast("string")), F.slice("tt", F.lit(1), fewer))}
+    lists = _token_lists(outputs, *keep).select("sent_id", *keep, n.alias("total"), F.when((n == F.size("tb")) & (n > 0), F.arrays_zip(*[c.alias(k) for k, c in columns.items()])).alias("x"))
+    # an outer explosion, as Spark would work out the lists once more to filter for an inner one
+    rows = lists.select("sent_id", *keep, "total", F.posexplode_outer("x").alias("pos", "x")).where("pos IS NOT NULL")
+    at = F.col("pos")
+    out = rows.select("sent_id", *keep, "pos", _label(F.col("x.w"), at).alias("word"), F.col("x.ta").alias("ipa_a"), F.col("x.tb").alias("ipa_b"), *(["total", "x"] if around else []))
+    if around:
+        out = out.withColumns({"proxima": F.when(at + 1 < F.col("total"), _label(F.col("x.after"), at + 1)), "anterior": F.when(at > 0, _label(F.col("x.before"), at - 1))}).drop("x")
+    return out
 
 
 def differences(outputs: DataFrame) -> DataFrame:
@@ -109,14 +122,22 @@ def aligned_summary(outputs: DataFrame) -> DataFrame:
     return lists.agg(zero(F.when(even, F.size("ta"))).alias("total"), zero(F.when(even, same)).alias("matched"), F.count_if(~even).alias("structural"))
 
 
-def categories(diffs: DataFrame, examples: int = 3) -> DataFrame:
-    """CM8: ``category, n, examples`` (the first words by sentence and position)."""
-    rows = diffs.select(X.divergence(F.col("ipa_a"), F.col("ipa_b")).alias("category"), "sent_id", "pos", "word")
-    counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    # a rank with a bound is cut to so many rows per task before the exchange
+def categories(outputs: DataFrame, examples: int = 3) -> DataFrame:
+    """CM8: ``category, n, examples`` (the first words by sentence and position) of the differences.
+
+    What is exchanged and ranked are counts by category and sentence; only the first sentences of a category, which hold its
+    first words, are aligned once more.
+    """
+    told = lambda diffs: diffs.select(X.divergence(F.col("ipa_a"), F.col("ipa_b")).alias("category"), "sent_id", "pos", "word")
+    counts = told(differences(outputs)).groupBy("category", "sent_id").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("category").orderBy("sent_id")
+    # the condition on n is always true, and makes Spark use the exchange of the counts again instead of aligning all once more
+    first = counts.withColumn("r", F.row_number().over(order)).where((F.col("r") <= examples) & (F.col("n") > 0)).select(F.col("category").alias("c"), F.col("sent_id").alias("s"))
+    again = outputs.join(F.broadcast(first.select("s").distinct()), F.col("sent_id").eqNullSafe(F.col("s")), "left_semi")  # so many per category
     rank = F.row_number().over(Window.partitionBy("category").orderBy("sent_id", "pos"))
-    first = rows.withColumn("r", rank).where(F.col("r") <= examples).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("e"))
-    return counts.join(first, "category").select("category", "n", F.array_join(F.transform("e", lambda x: x["word"]), ",").alias("examples"))
+    named = told(differences(again)).withColumn("r", rank).where(F.col("r") <= examples).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("e"))
+    totals = counts.groupBy("category").agg(F.sum("n").alias("n"))
+    return totals.join(named, "category").select("category", "n", F.array_join(F.transform("e", lambda x: x["word"]), ",").alias("examples"))
 
 
 def errors_by_sentence(outputs: DataFrame) -> DataFrame:
@@ -132,7 +153,7 @@ def errors_by_sentence(outputs: DataFrame) -> DataFrame:
 def homograph_accuracy(outputs: DataFrame, targets: DataFrame) -> DataFrame:
     """CM11: per target word ``occurrences, errors, correct, accuracy``."""
     wanted = small(targets.select("word").distinct())
-    seen = outputs.select(F.explode(X.text_words(F.col("sentence"))).alias("t")).select(_bare(F.col("t")).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
+    seen = outputs.select(F.explode(X.text_words(F.col("sentence"))).alias("t")).select(X.bare(F.col("t")).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
     wrong = differences(outputs).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("errors"))
     rows = targets.select("word").distinct().join(seen, "word", "left").join(wrong, "word", "left").fillna(0, ["occurrences", "errors"])
     correct = F.greatest(F.lit(0), F.col("occurrences") - F.col("errors"))

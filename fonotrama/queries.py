@@ -435,7 +435,7 @@ WHEN abs(length(ipa_a) - length(ipa_b)) <= 3 THEN abs(length(ipa_a) - length(ipa
 
 @query(f"WITH {_OUT}, c AS (SELECT *, {_CATEGORY} AS category FROM dif), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sent_id, pos) AS r FROM c) SELECT category, count(*) AS n, string_agg(word, ',' ORDER BY r) FILTER (r <= 3) AS examples FROM r GROUP BY category")
 def divergence_categories(spark, sf_dir):
-    return compare.categories(compare.differences(outputs(spark, sf_dir)))
+    return compare.categories(outputs(spark, sf_dir))
 
 
 @query(
