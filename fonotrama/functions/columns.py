@@ -23,6 +23,8 @@ COMPOSED = {
     for mark, bases in (("\u0300", "aeiou"), ("\u0301", "aeiouy"), ("\u0302", "aeiou"), ("\u0303", "aeinou"), ("\u0308", "aeiouy"), ("\u0327", "c"))
     for base in bases + bases.upper()
 }
+#: Ranges that all composed letters lie in; quicker to search for than the letters.
+COMPOSED_RANGES = "[\u00c0-\u017f\u1e00-\u1eff]"
 
 
 # --- normalisation steps that need no callback (NRM2-6, 23, 24) ---------------------------------------------
@@ -213,13 +215,17 @@ def decomposed(c: Column) -> Column:
     for mark in sorted({two[1] for two in COMPOSED.values()}):
         out = F.regexp_replace(out, f"([{''.join(one for one, two in COMPOSED.items() if two[1] == mark)}])", f"$1{mark}")
     out = F.translate(out, "".join(COMPOSED), "".join(two[0] for two in COMPOSED.values()))
-    return F.when(c.rlike(f"[{''.join(COMPOSED)}]"), out).otherwise(c)
+    return F.when(c.rlike(COMPOSED_RANGES), out).otherwise(c)
 
 
 def plain_ipa(c: Column) -> Column:
     """CM1: comparable form; null as empty."""
-    c = decomposed(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u200d"), F.lit("")), F.lit("\u200c"), F.lit("")))
-    c = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("g"), F.lit("ɡ")), "ˈ{2,}", "ˈ"), "̃{2,}", "̃")
+    c = F.coalesce(c, F.lit(""))
+    for joiner in ("\u200d", "\u200c"):
+        c = F.replace(c, F.lit(joiner), F.lit(""))
+    c = F.replace(decomposed(c), F.lit("g"), F.lit("ɡ"))
+    for mark in ("ˈ", "\u0303"):  # a search for two of them is far quicker than the replacement
+        c = F.when(F.contains(c, F.lit(mark * 2)), F.regexp_replace(c, f"{mark}{{2,}}", mark)).otherwise(c)
     return F.trim(c)
 
 
@@ -280,8 +286,12 @@ def bare(word: Column) -> Column:
 
 
 def ipa_words(ipa: Column) -> Column:
-    edge = ";:,.!?¡¿—…\"«»“”(){}"  # a fixed value
-    return F.regexp_extract_all(ipa, F.lit(rf"[^\s{edge}](?:\S*[^\s{edge}])?"), F.lit(0))
+    """The runs without white space, without the marks around them. Patterns of such marks are slow where threads share them, so none is used."""
+    spaced = ipa
+    for c in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    parts = F.split(F.when(ipa.rlike("[\\t\\n\\x0B\\f\\r]"), spaced).otherwise(ipa), " ")
+    return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(";:,.!?¡¿—…\"«»“”(){}"))), lambda w: w != "")
 
 
 def divergence(a: Column, b: Column) -> Column:
@@ -290,7 +300,7 @@ def divergence(a: Column, b: Column) -> Column:
     apart = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
     more = F.abs(F.length(a) - F.length(b))
     unmarked = without(a, "ˈˌ") == without(b, "ˈˌ")
-    many = F.when(apart <= 3, F.concat(apart.cast("string"), F.lit("-char-diff"))).otherwise(F.lit("varios-chars-diff"))
+    many = F.get(F.array(*[F.lit(f"{i}-char-diff") for i in range(4)], F.lit("varios-chars-diff")), F.least(apart, F.lit(4)))
     return (
         F.when(without(a, "ˌ") == without(b, "ˌ"), F.lit("acento-secundario"))
         .when(without(a, "ˈ") == without(b, "ˈ"), F.lit("acento-primario"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as X
+from .mining import counted
 
 #: Six sentences that set a word before a vowel, a voiced and an unvoiced consonant, at the end, at the start, and alone.
 TEMPLATES = ("Eu vejo {p} água", "Eu vejo {p} bola", "Eu vejo {p} coisa", "Eu vejo {p}", "{p} está aqui", "{p}")
@@ -81,7 +82,8 @@ def compare_sentences(outputs: DataFrame) -> DataFrame:
 
 def _token_lists(outputs: DataFrame, *keep: str) -> DataFrame:
     rows = outputs.where("ipa_a IS NOT NULL AND ipa_b IS NOT NULL")
-    return rows.select("sent_id", *keep, X.ipa_words(X.plain_ipa(F.col("ipa_a"))).alias("ta"), X.ipa_words(X.plain_ipa(F.col("ipa_b"))).alias("tb"), X.text_words(F.col("sentence")).alias("tt"))
+    plain = rows.select("sent_id", *keep, "sentence", X.plain_ipa(F.col("ipa_a")).alias("a"), X.plain_ipa(F.col("ipa_b")).alias("b"))
+    return plain.select("sent_id", *keep, X.ipa_words(F.col("a")).alias("ta"), X.ipa_words(F.col("b")).alias("tb"), X.text_words(F.col("sentence")).alias("tt"))
 
 
 def _label(word: Column, at: Column) -> Column:
@@ -153,8 +155,9 @@ def errors_by_sentence(outputs: DataFrame) -> DataFrame:
 def homograph_accuracy(outputs: DataFrame, targets: DataFrame) -> DataFrame:
     """CM11: per target word ``occurrences, errors, correct, accuracy``."""
     wanted = small(targets.select("word").distinct())
-    seen = outputs.select(F.explode(X.text_words(F.col("sentence"))).alias("t")).select(X.bare(F.col("t")).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
-    wrong = differences(outputs).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("errors"))
+    tokens = outputs.select(X.text_words(F.col("sentence")).alias("t")).select(F.explode_outer("t").alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    seen = tokens.select(X.bare(F.col("t")).alias("word"), "n").join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("occurrences"))
+    wrong = differences(outputs).groupBy("word").agg(F.count(F.lit(1)).alias("errors")).join(wanted, "word", "left_semi")
     rows = targets.select("word").distinct().join(seen, "word", "left").join(wrong, "word", "left").fillna(0, ["occurrences", "errors"])
     correct = F.greatest(F.lit(0), F.col("occurrences") - F.col("errors"))
     return rows.select("word", "occurrences", "errors", correct.alias("correct"), F.when(F.col("occurrences") > 0, correct / F.col("occurrences")).alias("accuracy"))
@@ -162,8 +165,8 @@ def homograph_accuracy(outputs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def worst_words(diffs: DataFrame, k: int = 15) -> DataFrame:
     """CM13: the words of most errors; ties in the order in which they are first seen."""
-    counts = diffs.groupBy("word").agg(F.count(F.lit(1)).alias("errors"), F.min(F.struct("sent_id", "pos")).alias("first"))
-    return counts.orderBy(F.desc("errors"), "first").limit(k).select("word", "errors")
+    counts = counted(diffs, ["word"], ["sent_id", "pos"])
+    return counts.orderBy(F.desc("n"), "first").limit(k).select("word", F.col("n").alias("errors"))
 
 
 def divergence_lexicon(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import columns as X
@@ -25,11 +26,35 @@ VOWELS = "aeiouáéíóúâêôãõàü"
 LABELLED = ("proxima_tipo", "proxima_tipo2", "anterior_tipo", "posicao_bucket", "tamanho_bucket")
 
 
-def modal(rows: DataFrame, keys: list[str], value: str, seen: list[str]) -> DataFrame:
-    """Per key ``top`` (the most common value), ``n`` (its count), ``total`` and ``kinds`` (distinct values)."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*seen)).alias("__first"))
-    best = F.min_by(F.struct(F.col(value).alias("v"), F.col("__n").alias("n")), F.struct(-F.col("__n"), "__first"))
-    per = counts.groupBy(*keys).agg(best.alias("__b"), F.sum("__n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+def counted(rows: DataFrame, keys: list[str], seen: list[str], weight: str | None = None) -> DataFrame:
+    """``keys`` with ``n`` (rows, or the sum of ``weight``) and ``first``, the least ``seen``, counted before the exchange without a sort.
+
+    A least struct makes Spark sort all rows, so a place (id, pos) is one number: a long where it fits, else a decimal.
+    """
+    n = (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
+    kinds = []
+    for c in seen:
+        kind = rows.schema[c].dataType
+        kinds += [(F.col(c)[f.name], f.dataType) for f in kind] if isinstance(kind, T.StructType) else [(F.col(c), kind)]
+    if len(kinds) == 1 and isinstance(kinds[0][1], T.DecimalType):
+        return rows.groupBy(*keys).agg(n, F.min(kinds[0][0]).alias("first"))
+    whole = all(isinstance(k, T.IntegralType) for _, k in kinds)
+    if not whole or len(kinds) > 2 or (len(kinds) == 2 and not isinstance(kinds[1][1], T.IntegerType)):
+        return rows.groupBy(*keys).agg(n, F.min(F.struct(*seen)).alias("first"))
+    at, pos = kinds[0][0].cast("long"), kinds[1][0] if len(kinds) == 2 else F.lit(0)
+    fits = F.coalesce(at.between(0, 2**32 - 1) & (pos >= 0), F.lit(False))
+    near = F.when(fits, at * F.lit(2**31).cast("long") + pos)
+    wide = F.coalesce(at.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + F.coalesce(pos, F.lit(-(2**31))).cast("decimal(11,0)")
+    far = F.when(~fits, wide.cast("decimal(38,0)"))
+    held = rows.groupBy(*keys).agg(n, F.min(near).alias("__near"), F.min(far).alias("__far"))
+    return held.select(*keys, "n", F.least(F.col("__near").cast("decimal(38,0)"), "__far").alias("first"))
+
+
+def modal(rows: DataFrame, keys: list[str], value: str, seen: list[str], weight: str | None = None) -> DataFrame:
+    """Per key ``top`` (the most common value), ``n`` (its count), ``total`` and ``kinds`` (distinct values but null)."""
+    counts = counted(rows, [*keys, value], seen, weight)
+    best = F.min_by(F.struct(F.col(value).alias("v"), "n"), F.struct(-F.col("n"), "first"))
+    per = counts.groupBy(*keys).agg(best.alias("__b"), F.sum("n").alias("total"), F.count(value).alias("kinds"))
     return per.select(*keys, F.col("__b.v").alias("top"), F.col("__b.n").alias("n"), "total", "kinds")
 
 
@@ -78,19 +103,18 @@ def approximate_pairs(outputs: DataFrame, ipa: str = "ipa_b") -> DataFrame:
 # --- dictionaries (MN4, MN5, MN17) ------------------------------------------------------------------------------
 
 
-def _key(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "^['-]+", ""), "['-]+$", "")
-
-
 def context_lexicon(pairs: DataFrame, isolated: DataFrame | None = None, with_next: bool = False, least: int = 2, share: float = 0.9) -> DataFrame:
     """MN4: ``key, ipa`` from ``sent_id, pairs`` (arrays of word and ipa). A key (a word, or with the word that follows) needs
     ``least`` readings, ``share`` of them alike; one whose base form is that of ``isolated`` (word, ipa) is left out."""
-    rows = pairs.select("sent_id", "pairs", F.posexplode("pairs").alias("pos", "p"))
-    follows = F.coalesce(_key(F.get("pairs", F.col("pos") + 1)["word"]), F.lit(""))
-    base = _key(F.col("p.word"))
-    rows = rows.select("sent_id", "pos", base.alias("word"), F.col("p.ipa").alias("ipa"), follows.alias("follows")).where("word <> ''")
-    rows = rows.select("sent_id", "pos", (F.concat_ws("|", "word", "follows") if with_next else F.col("word")).alias("key"), "ipa")
-    top = modal(rows, ["key"], "ipa", ["sent_id", "pos"]).where((F.col("total") >= least) & (F.col("n") / F.col("total") >= share))
+    words = F.col("pairs")["word"]
+    both = F.arrays_zip(words.alias("w"), F.col("pairs")["ipa"].alias("ipa"), F.slice(words, F.lit(2), F.greatest(F.size("pairs") - 1, F.lit(0))).alias("after"))
+    rows = pairs.select("sent_id", both.alias("x")).select("sent_id", F.posexplode_outer("x").alias("pos", "x")).where("pos IS NOT NULL")
+    names = ["w", "after"] if with_next else ["w"]
+    counts = counted(rows.select("sent_id", "pos", F.col("x.ipa").alias("ipa"), *[F.col(f"x.{c}").alias(c) for c in names]), [*names, "ipa"], ["sent_id", "pos"])
+    word = X.bare(F.col("w"))
+    key = F.concat_ws("|", word, F.coalesce(X.bare(F.col("after")), F.lit(""))) if with_next else word
+    rows = counts.where(word != "").select(key.alias("key"), "ipa", "n", "first")
+    top = modal(rows, ["key"], "ipa", ["first"], "n").where((F.col("total") >= least) & (F.col("n") / F.col("total") >= share))
     found = top.select("key", X.base_ipa(F.col("top")).alias("ipa"))
     if isolated is None or with_next:
         return found
@@ -112,7 +136,7 @@ def homograph_lexicon(examples: DataFrame, cached: DataFrame, least: int = 2) ->
 def divergence_pairs(diffs: DataFrame, k: int = 40, least: int = 1, words: int = 5) -> DataFrame:
     """MN17: the ``k`` most frequent pairs (ipa_a, ipa_b), then those of ``least`` and more, with their most frequent words;
     ties in the order in which they are first seen."""
-    by_word = diffs.groupBy("ipa_a", "ipa_b", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent_id", "pos")).alias("first"))
+    by_word = counted(diffs, ["ipa_a", "ipa_b", "word"], ["sent_id", "pos"])
     totals = by_word.groupBy("ipa_a", "ipa_b").agg(F.sum("n").alias("total"), F.min("first").alias("f")).orderBy(F.desc("total"), "f").limit(k).drop("f")
     held = by_word.join(F.broadcast(totals.where(F.col("total") >= least)), ["ipa_a", "ipa_b"])  # at most k rows
     rank = F.row_number().over(Window.partitionBy("ipa_a", "ipa_b").orderBy(F.desc("n"), "first"))
@@ -130,7 +154,7 @@ def word_corrections(diffs: DataFrame, least: int = 10) -> DataFrame:
 
 def frequent_words(tokens: DataFrame, least: int = 2, k: int = 50, order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """MN16: the ``k`` most frequent words of at least so many occurrences; ties in the order in which they are first seen."""
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")).where(F.col("n") >= least)
+    counts = counted(tokens, ["word"], list(order)).where(F.col("n") >= least)
     return counts.orderBy(F.desc("n"), "first").limit(k).select("word", "n")
 
 
@@ -154,7 +178,7 @@ def size_bucket(total: Column) -> Column:
 
 
 def with_features(items: DataFrame) -> DataFrame:
-    """MN6: adds ``feature`` columns; a column of a category that ``items`` lacks is null, a flag that it lacks is no."""
+    """MN6: adds columns of ``FEATURES``. One that ``items`` lacks would be null, or no, in all rows, so it tells them apart nowhere and is left out."""
     has = lambda n, default: F.col(n) if n in items.columns else F.lit(default)
     made = {
         "anterior_tipo": letter_class(has("anterior_final", "").cast("string")),
@@ -163,35 +187,40 @@ def with_features(items: DataFrame) -> DataFrame:
         "tamanho_bucket": size_bucket(has("total", 0)),
     }
     kept = [c for c in items.columns if c not in FEATURES]
-    values = {c: made.get(c, has(c, None).cast("string")) for c in CATEGORIES}
-    values |= {c: F.when(F.coalesce(has(c, False), F.lit(False)), F.lit("sim")).otherwise(F.lit("nao")) for c in FLAGS}
-    return items.select(*kept, F.array(*[F.struct(F.lit(i).alias("f"), F.lit(c).alias("feature"), v.alias("value")) for i, (c, v) in enumerate(values.items())]).alias("features"))
-
-
-def scored_rules(items: DataFrame, scope: str, least: int = 5, precision: float = 0.85) -> DataFrame:
-    """MN7-MN9: rules of one scope (``global`` by kind of change, ``palavra`` by word and kind) from items with features:
-    ``id, word, change, ipa``."""
-    keys = ["change"] if scope == "global" else ["word", "change"]
-    rows = items.withColumn("change", F.coalesce("change", F.lit("desconhecido")))
-    base = modal(rows, keys, "ipa", ["id"])
-    if scope != "global":
-        base = base.where(F.col("total") >= least)
-    base = base.select(*keys, (F.col("n") / F.col("total")).alias("baseline"))
-    long = rows.select(*keys, "id", "ipa", F.inline("features")).where("value IS NOT NULL")
-    top = modal(long, [*keys, "f", "feature", "value"], "ipa", ["id"]).where(F.col("total") >= least)
-    rules = top.join(base, keys).withColumn("precision", F.col("n") / F.col("total"))
-    rules = rules.where((F.col("precision") >= precision) & (F.col("precision") > F.col("baseline") + 0.02))
-    word = F.lit("") if scope == "global" else F.col("word")
-    return rules.select(F.lit(scope).alias("scope"), "change", word.alias("word"), "f", "feature", "value", F.col("top").alias("ipa"), F.col("total").alias("coverage"), "precision", (F.col("precision") - F.col("baseline")).alias("gain"), "baseline")
-
-
-def all_rules(items: DataFrame, least: int = 5, precision: float = 0.85) -> DataFrame:
-    """MN9, MN10: both scopes, one row per scope, change, feature, value, reading and word (the first found)."""
-    both = scored_rules(items, "global", least, precision).unionByName(scored_rules(items, "palavra", least, precision))
-    keys = ["scope", "change", "feature", "value", "ipa", "word"]
-    rest = ["f", "coverage", "precision", "gain", "baseline"]
-    first = both.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r"))
-    return first.select(*keys, *[f"r.{c}" for c in rest])
+    values = {c: made.get(c, has(c, None).cast("string")) for c in CATEGORIES if c in made or c in items.columns}
+    values |= {c: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit("sim")).otherwise(F.lit("nao")) for c in FLAGS if c in items.columns}
+    return items.select(*kept, *[v.alias(c) for c, v in values.items()])
+
+
+def feature_rows(names: list[str], base: bool = False) -> Column:
+    """The features as an array of (f, feature, value); ``base`` sets one before them in which all rows are alike."""
+    named = [F.struct(F.lit(FEATURES.index(c)).alias("f"), F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names]
+    return F.array(*[F.struct(F.lit(-1).alias("f"), F.lit("").alias("feature"), F.lit("").alias("value"))] * base, *named)
+
+
+def all_rules(items: DataFrame, least: int = 5, precision: float = 0.85, scopes: tuple[str, ...] = ("global", "palavra"), change: Column | None = None) -> DataFrame:
+    """MN7-MN10: rules of both scopes (``global`` by kind of change, ``palavra`` by word and kind) from items with features:
+    ``id, word, change, ipa``, or ``ipa_a`` and how the kind of ``change`` follows from both. One row per scope, change, feature,
+    value, reading and word.
+
+    Items alike in all of these are counted together before they are multiplied by features and scopes, and the share of the
+    most common reading without any feature, which rules are held against, is counted among them as one feature more.
+    """
+    names = [c for c in FEATURES if c in items.columns]
+    kinds = counted(items, ["word", "change" if change is None else "ipa_a", "ipa", *names], ["id"])
+    kinds = kinds.withColumn("change", F.coalesce(F.col("change") if change is None else change, F.lit("desconhecido")))
+    own = {"global": F.lit(""), "palavra": F.col("word")}
+    long = kinds.select("word", "change", "ipa", "n", "first", F.inline(feature_rows(names, base=True))).where("value IS NOT NULL")
+    held = F.array(*[F.struct(F.lit(s).alias("scope"), own[s].alias("word")) for s in scopes])
+    long = long.select("change", "ipa", "n", "first", "f", "feature", "value", F.inline(held))
+    keys = ["scope", "word", "change"]
+    top = modal(long, [*keys, "f", "feature", "value"], "ipa", ["first"], "n").withColumn("precision", F.col("n") / F.col("total"))
+    base = F.col("f") == -1
+    good = F.when(~base & (F.col("total") >= least) & (F.col("precision") >= precision), F.struct("f", "feature", "value", F.col("top").alias("ipa"), F.col("total").alias("coverage"), "precision"))
+    # the values of a group's features, of which there are few
+    found = top.groupBy(*keys).agg(F.max(F.when(base, F.col("precision"))).alias("baseline"), F.max(F.when(base, F.col("total"))).alias("all"), F.collect_list(good).alias("r"))
+    found = found.where((F.col("scope") == "global") | (F.col("all") >= least)).select(*keys, "baseline", F.inline("r")).where(F.col("precision") > F.col("baseline") + 0.02)
+    return found.select("scope", "change", "feature", "value", "ipa", "word", "f", "coverage", "precision", (F.col("precision") - F.col("baseline")).alias("gain"), "baseline")
 
 
 def consolidated(rules: DataFrame) -> DataFrame:
@@ -221,8 +250,10 @@ def with_labels(items: DataFrame, labels: DataFrame) -> DataFrame:
 
 def label_cooccurrence(items: DataFrame, k: int = 5) -> DataFrame:
     """MN14: per trigger the ``k`` most frequent feature values: ``trigger, feature_value, n``."""
-    long = items.where("trigger IS NOT NULL AND trigger <> ''").select("trigger", "id", F.inline("features")).where(F.col("feature").isin(*LABELLED) & F.col("value").isNotNull())
-    counts = long.groupBy("trigger", F.concat_ws("=", "feature", "value").alias("feature_value")).agg(F.count(F.lit(1)).alias("n"))
+    names = [c for c in LABELLED if c in items.columns]
+    kinds = items.where("trigger IS NOT NULL AND trigger <> ''").groupBy("trigger", *names).agg(F.count(F.lit(1)).alias("n"))
+    long = kinds.select("trigger", "n", F.inline(feature_rows(names))).where("value IS NOT NULL")
+    counts = long.groupBy("trigger", F.concat_ws("=", "feature", "value").alias("feature_value")).agg(F.sum("n").alias("n"))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "feature_value"))), 1, k)  # distinct values of five features
     return counts.groupBy("trigger").agg(top.alias("t")).select("trigger", F.inline("t")).select("trigger", "feature_value", (-F.col("m")).alias("n"))
 
@@ -233,13 +264,18 @@ def label_cooccurrence(items: DataFrame, k: int = 5) -> DataFrame:
 def variation(items: DataFrame, features: tuple[str, ...] = CONTEXT) -> DataFrame:
     """MN15: per word ``n, verdict, best_feature, score`` from items (id, word, ipa_a, ipa, and any of ``features``): whether
     either engine varies, and which feature separates the second one's readings best (precision times ln(buckets + 1))."""
-    a, b = F.count_distinct("ipa_a") == 1, F.count_distinct("ipa") == 1
+    held = [c for c in features if c in items.columns]
+    kinds = counted(items.select("id", "word", "ipa_a", "ipa", *[F.col(c).cast("string").alias(c) for c in held]), ["word", "ipa_a", "ipa", *held], ["id"])
+    part = lambda f, name, value, reading: F.struct(F.lit(f).alias("f"), F.lit(name).alias("feature"), value.alias("value"), F.col(reading).alias("reading"))
+    # the engines' readings of a word whatever its context are counted as two features more
+    parts = F.array(part(-2, "a", F.lit(""), "ipa_a"), part(-1, "b", F.lit(""), "ipa"), *[part(i, c, F.col(c), "ipa") for i, c in enumerate(features) if c in held])
+    long = kinds.select("word", "n", "first", F.inline(parts)).where("value IS NOT NULL")
+    buckets = modal(long, ["word", "f", "feature", "value"], "reading", ["first"], "n")
+    split = buckets.groupBy("word", "f", "feature").agg(F.count(F.lit(1)).alias("buckets"), F.count_distinct("top").alias("tops"), F.max("kinds").alias("kinds"), F.sum("total").alias("total"), (F.sum("n") / F.sum("total")).alias("precision"))
+    split = split.withColumn("score", F.when((F.col("f") >= 0) & (F.col("tops") > 1), F.col("precision") * F.log(F.col("buckets") + 1)))
+    one = lambda f, c: F.max(F.when(F.col("f") == f, F.col(c)))
+    best = F.min_by(F.when(F.col("score").isNotNull(), F.struct("feature", "score")), F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "f")))
+    words = split.groupBy("word").agg(one(-1, "total").alias("n"), (one(-2, "kinds") == 1).alias("a"), (one(-1, "kinds") == 1).alias("b"), best.alias("best"))
+    a, b = F.col("a"), F.col("b")
     verdict = F.when(a & b, F.lit("lexical")).when(~a & ~b, F.lit("ambiguo")).when(a & ~b, F.lit("regra")).otherwise(F.lit("inverso"))
-    words = items.groupBy("word").agg(F.count(F.lit(1)).alias("n"), verdict.alias("verdict"))
-    held = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for i, c in enumerate(features) if c in items.columns])
-    long = items.select("word", "id", "ipa", F.inline(held)).where("value IS NOT NULL")
-    buckets = modal(long, ["word", "f", "feature", "value"], "ipa", ["id"])
-    split = buckets.groupBy("word", "f", "feature").agg(F.count(F.lit(1)).alias("buckets"), F.count_distinct("top").alias("tops"), (F.sum("n") / F.sum("total")).alias("precision")).where("tops > 1")
-    best = split.withColumn("score", F.col("precision") * F.log(F.col("buckets") + 1))
-    best = best.groupBy("word").agg(F.min_by(F.struct("feature", "score"), F.struct(-F.col("score"), "f")).alias("b"))
-    return words.join(best, "word", "left").select("word", "n", "verdict", F.col("b.feature").alias("best_feature"), F.col("b.score").alias("score"))
+    return words.select("word", "n", verdict.alias("verdict"), F.col("best.feature").alias("best_feature"), F.col("best.score").alias("score"))

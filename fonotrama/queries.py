@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import columns as X
 from .functions import kernel, normalise, spelling
@@ -543,8 +542,9 @@ def probe_matrix(spark, sf_dir):
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outputs(spark, sf_dir).where("sentence IS NOT NULL")
-    pairs = mining.exact_pairs(X.text_words(F.col("sentence")), X.ipa_words(X.plain_ipa(F.col("ipa_b"))))
-    return rows.select("sent_id", pairs.alias("pairs")).where("pairs IS NOT NULL")
+    plain = rows.select("sent_id", "sentence", X.plain_ipa(F.col("ipa_b")).alias("b"))
+    lists = plain.select("sent_id", X.text_words(F.col("sentence")).alias("w"), X.ipa_words(F.col("b")).alias("s"))
+    return lists.select("sent_id", mining.exact_pairs(F.col("w"), F.col("s")).alias("pairs"))
 
 
 _BASE = lambda e: f"CASE WHEN {e} = '' THEN {e} ELSE left({e}, -1) || translate(right({e}, 1), 'zwjɾ', 'sʊyr') END"
@@ -613,19 +613,22 @@ def word_corrections(spark, sf_dir):
     return mining.word_corrections(compare.differences(outputs(spark, sf_dir)))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every aligned occurrence with its context, as the miners take it."""
-    rows = compare.aligned(outputs(spark, sf_dir).where("sentence IS NOT NULL"))
-    line = Window.partitionBy("sent_id").orderBy("pos")
-    rows = rows.withColumns({"proxima": F.lead("word").over(line), "anterior": F.lag("word").over(line), "total": F.count(F.lit(1)).over(Window.partitionBy("sent_id"))})
-    same = F.col("ipa_a") == F.col("ipa_b")
-    change = F.when(same, F.lit("igual")).otherwise(X.divergence(F.col("ipa_a"), F.col("ipa_b")))
+def items(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
+    """Every aligned occurrence with its context, as the miners take it; with ``labels`` (doc_id, trigger) those of labelled texts."""
+    outs = outputs(spark, sf_dir).where("sentence IS NOT NULL")
+    keep = [] if labels is None else ["trigger"]
+    rows = compare.aligned(outs if labels is None else outs.join(labels, F.col("sent_id") == F.col("doc_id")), *keep, around=True)
     return rows.select(
-        F.struct("sent_id", "pos").alias("id"), "word", change.alias("change"), "ipa_a", F.col("ipa_b").alias("ipa"), F.col("pos").alias("posicao"), "total", F.substring("proxima", 1, 1).alias("proxima_inicial"),
-        F.substring(F.col("anterior"), -1, 1).alias("anterior_final"), (F.col("proxima").isNull()).alias("tem_pausa_depois"), F.col("proxima"),
+        F.struct("sent_id", "pos").alias("id"), "word", "ipa_a", F.col("ipa_b").alias("ipa"), F.col("pos").alias("posicao"), "total", F.substring("proxima", 1, 1).alias("proxima_inicial"),
+        F.substring(F.col("anterior"), -1, 1).alias("anterior_final"), (F.col("proxima").isNull()).alias("tem_pausa_depois"), F.col("proxima"), *keep,
     )
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("ipa_a"), F.col("ipa")
+    return mining.all_rules(mining.with_features(items(spark, sf_dir)), change=F.when(a == b, F.lit("igual")).otherwise(X.divergence(a, b)))
+
+
 def _sql_letter(e: str) -> str:
     return f"CASE WHEN coalesce({e}, '') = '' THEN 'vazio' WHEN regexp_matches(lower({e}), '^[{mining.VOWELS}]') THEN 'vogal' WHEN regexp_matches(lower({e}), '^[bdgvzmnlr]') THEN 'sonora' WHEN regexp_matches(lower({e}), '^[ptkfsxʃ]') THEN 'surda' ELSE 'outra' END"
 
@@ -656,19 +659,18 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @query(f"WITH {_RULES} SELECT scope, change, word, feature, value, ipa, coverage, {_ROUND} FROM rules")
 def rule_mining(spark, sf_dir):
-    rules = mining.all_rules(mining.with_features(items(spark, sf_dir)))
-    return rounded(rules.select("scope", "change", "word", "feature", "value", "ipa", "coverage", "precision", "gain", "baseline"), "precision", "gain", "baseline")
+    return rounded(rules(spark, sf_dir).select("scope", "change", "word", "feature", "value", "ipa", "coverage", "precision", "gain", "baseline"), "precision", "gain", "baseline")
 
 
 @query(f"WITH {_RULES} SELECT change, feature, value, ipa, CAST(sum(coverage) AS BIGINT) AS coverage, round(arg_max(precision, (f, coverage, precision)), 9) AS precision, round(arg_max(gain, (f, coverage, precision)), 9) AS gain, round(arg_max(baseline, (f, coverage, precision)), 9) AS baseline FROM rules WHERE scope = 'global' GROUP BY change, feature, value, ipa")
 def rules_consolidated(spark, sf_dir):
-    return rounded(mining.consolidated(mining.all_rules(mining.with_features(items(spark, sf_dir)))), "precision", "gain", "baseline")
+    return rounded(mining.consolidated(rules(spark, sf_dir)), "precision", "gain", "baseline")
 
 
 @query(f"WITH {_RULES} SELECT scope, change, word, feature, value, ipa, coverage, round(coverage * gain * ln(precision + 1), 6) AS score, coverage >= 10 AND precision >= 0.9 AS implementable FROM rules ORDER BY coverage * gain * ln(precision + 1) DESC, scope, change, word, feature, value, ipa LIMIT 30")
 def rules_ranked(spark, sf_dir):
-    rules = mining.ranked_rules(mining.all_rules(mining.with_features(items(spark, sf_dir))))
-    return rules.select("scope", "change", "word", "feature", "value", "ipa", "coverage", F.round("score", 6).alias("score"), "implementable")
+    ranked = mining.ranked_rules(rules(spark, sf_dir))
+    return ranked.select("scope", "change", "word", "feature", "value", "ipa", "coverage", F.round("score", 6).alias("score"), "implementable")
 
 
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -680,8 +682,7 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY n DESC, feature_value) AS r FROM j) SELECT trigger, feature_value, n FROM r WHERE r <= 5"""
 )
 def label_cooccurrence(spark, sf_dir):
-    rows = mining.with_features(items(spark, sf_dir)).withColumn("doc_id", F.col("id.sent_id")).join(triggers(spark, sf_dir), "doc_id")
-    return mining.label_cooccurrence(rows)
+    return mining.label_cooccurrence(mining.with_features(items(spark, sf_dir, triggers(spark, sf_dir))))
 
 
 @query(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fonotrama import queries as Q
-from fonotrama.operators import compare
+from fonotrama.operators import compare, mining
 
 
 def plan(df, kind="executedPlan"):
@@ -39,3 +39,20 @@ def test_categories_rank_counts_only(outputs):
     got = {r.category: (r.n, r.examples) for r in df.collect()}
     assert got == {"1-char-diff": (6, "mar,alto,o")}
     assert any("pos#" not in x for x in lines(df, "WindowGroupLimit"))
+
+
+@pytest.mark.parametrize("name", ["rules_consolidated", "rules_ranked", "rule_mining", "word_variation", "word_corrections", "divergence_pairs", "worst_words", "context_lexicon", "context_lexicon_pairs", "homograph_accuracy", "label_cooccurrence"])
+def test_occurrences_are_counted_without_a_sort(spark, sf_dir, name):
+    """Below the first exchange of counts, rows are hashed: a least struct made Spark sort every occurrence, and windows exchanged them."""
+    found = plan(Q.QUERIES[name](spark, sf_dir)).splitlines()
+    scan = next(i for i, x in enumerate(found) if "FileScan" in x and "documents" in x)
+    below = found[max(i for i, x in enumerate(found[:scan]) if "Exchange hashpartitioning" in x) : scan]
+    assert any("Generate" in x for x in below) and any("HashAggregate" in x for x in below) and not any("Sort" in x or "Window" in x for x in below)
+    assert not any("tt#" in x or "pairs#" in x for x in below if "Generate" in x)
+
+
+def test_places_of_any_size(spark):
+    """The first of (id, pos) is the least, for ids that are null, negative or large too."""
+    rows = spark.createDataFrame([(5, 1, "a"), (5, 0, "b"), (-(2**63), 3, "c"), (2**63 - 1, 0, "d"), (None, 7, "e"), (2**32, 0, "f"), (2**32 - 1, 2**31 - 1, "g")], "sent_id long, pos int, word string")
+    got = [r.word for r in mining.counted(rows, ["word"], ["sent_id", "pos"]).orderBy("first").collect()]
+    assert got == [r.word for r in rows.orderBy("sent_id", "pos").collect()] == list("ecbagfd")
