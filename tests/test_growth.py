@@ -1,10 +1,13 @@
 """Plans whose cost must grow no faster than the input: what an explosion carries, what is sorted, what a window frames."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from fonotrama import queries as Q
 from fonotrama.operators import compare, mining
+from fonotrama.plans import phonemes as P
 
 
 def plan(df, kind="executedPlan"):
@@ -56,3 +59,22 @@ def test_places_of_any_size(spark):
     rows = spark.createDataFrame([(5, 1, "a"), (5, 0, "b"), (-(2**63), 3, "c"), (2**63 - 1, 0, "d"), (None, 7, "e"), (2**32, 0, "f"), (2**32 - 1, 2**31 - 1, "g")], "sent_id long, pos int, word string")
     got = [r.word for r in mining.counted(rows, ["word"], ["sent_id", "pos"]).orderBy("first").collect()]
     assert got == [r.word for r in rows.orderBy("sent_id", "pos").collect()] == list("ecbagfd")
+
+
+@pytest.mark.parametrize("name", ["next_initial", "sandhi", "lexicon_resolve", "phonemise", "speech_chunks"])
+def test_a_long_sentence_costs_its_length(spark, sf_dir, name):
+    """A frame from each word to the end of its sentence, or a word's row that carries a list, cost the square of the length."""
+    df = Q.QUERIES[name](spark, sf_dir)
+    held = [m[1] for x in lines(df, "Generate") if (m := re.search(r"\[([^\[\]]*)\], (?:true|false), \[", x))]
+    assert not lines(df, "Window") and not any(x.split("#")[0] in ("w", "t", "x") for h in held for x in h.split(", "))
+
+
+def test_context_of_a_long_sentence(spark):
+    text = "os - amigos, 'as ideias-mestras. -- e " * 3 + "mais"
+    rows = spark.createDataFrame([(0, 0, text), (1, 0, "..."), (2, 0, "")], "doc long, sent int, sentence string")
+    for strict in (True, False):
+        want = [(r.token, r.initial, r.n_words) for r in P.with_context(P.token_rows(rows), strict).where("kind = 'word'").orderBy("doc", "pos").collect()]
+        got = [(r.token, r.initial, r.n_words) for r in P.word_rows(rows, strict).orderBy("doc", "pos").collect()]
+        assert got == want and len(got) == 16
+    assert [x[1] for x in got[:5]] == ["a", None, "i", None, "o"]
+    assert sorted((r.doc, r.n_words) for r in P.word_rows(rows, whole=True).where("rest IS NOT NULL").collect()) == [(0, 16), (1, 0), (2, 0)]
