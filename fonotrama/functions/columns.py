@@ -231,11 +231,16 @@ def plain_ipa(c: Column) -> Column:
 
 def speech_text(ipa: Column) -> Column:
     """PP2: the tokens of ``speech_tokens``, joined."""
-    marks = "[.,!?:;…]"
-    c = F.replace(decomposed(F.translate(ipa, "_\u200d\u200c", "")), F.lit("c"), F.lit("k"))
+    marks = ".,!?:;…"
+    c = ipa
+    for joiner in "_\u200d\u200c":
+        c = F.replace(c, F.lit(joiner), F.lit(""))
+    c = F.replace(decomposed(c), F.lit("c"), F.lit("k"))
     c = F.regexp_replace(c, r"\([^)]*(\)|$)", "")
     c = F.replace(c, F.lit("\n"), F.lit("\ue000 "))  # a comma that takes no space before it
-    c = F.regexp_replace(F.regexp_replace(c, f"(?s)(?<=.)({marks})", " $1 "), f"^({marks})(?! )", "$1 ")
+    for mark in marks:
+        c = F.replace(c, F.lit(mark), F.lit(f" {mark} "))
+    c = F.regexp_replace(c, f"^ ([{marks}])", "$1")  # what was the first character takes none before it either
     return F.regexp_replace(F.replace(c, F.lit("\ue000"), F.lit(",")), " {2,}", " ")
 
 

@@ -391,8 +391,9 @@ def pauses(spark, sf_dir):
     SELECT doc_id, CASE WHEN length(ipa) <= 200 THEN ipa ELSE list_reduce(l, lambda a, p: CASE WHEN length(a) - coalesce(nullif(length(a) - instr(reverse(a), '') + 1, length(a) + 1), 0) + 1 + length(p) > 200 THEN a || '' || p ELSE a || ' ' || p END) END AS chunks FROM c WHERE ipa <> ''"""
 )
 def chunk_packing(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.chunks(X.speech_text(F.col("text"))).alias("c"))
-    return rows.where(F.size("c") > 0).select("doc_id", F.array_join("c", "").alias("chunks"))
+    said = table(spark, sf_dir, "documents").select("doc_id", X.speech_text(F.col("text")).alias("said"))
+    rows = said.where(F.trim("said") != "").select("doc_id", X.chunks(F.col("said")).alias("c"))  # such a text has a chunk
+    return rows.select("doc_id", F.array_join("c", "\ue001").alias("chunks"))
 
 
 # --- comparison: the second engine's output is the first one's with changes --------------------------------------
