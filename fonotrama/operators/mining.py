@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,8 @@ FEATURES = CATEGORIES + FLAGS
 #: What a word's variation is held against, as columns of the items.
 CONTEXT = ("proxima_tipo", "proxima_inicial", "anterior_tipo", "anterior_final", "posicao_rel", "tem_pausa_depois", "tem_pausa_antes")
 VOWELS = "aeiouáéíóúâêôãõàü"
+#: Sentences whose lists are Python objects at a time.
+SLICE = 16
 LABELLED = ("proxima_tipo", "proxima_tipo2", "anterior_tipo", "posicao_bucket", "tamanho_bucket")
 
 
@@ -88,16 +90,22 @@ def _share(words: list[str], said: list[str]) -> list[tuple[str, str]] | None:
     return out
 
 
-def approximate_pairs(outputs: DataFrame, ipa: str = "ipa_b") -> DataFrame:
-    """MN3: ``sent_id, pos, word, ipa``; where the lists differ in length, by proportion of the words' lengths."""
-    lists = outputs.where(F.col(ipa).isNotNull()).select("sent_id", X.text_words(F.col("sentence")).alias("w"), X.ipa_words(X.plain_ipa(F.col(ipa))).alias("s"))
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of ``sent_id, w, s`` the pairs; Python holds the words of ``SLICE`` sentences at a time, however large a batch is."""
+    kinds = pa.schema([("sent_id", pa.int64()), ("pos", pa.int32()), ("word", pa.string()), ("ipa", pa.string())])
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            rows = zip(*(batch.column(c).slice(lo, SLICE).to_pylist() for c in ("sent_id", "w", "s")), strict=True)
+            found = [(i, k, w, s) for i, ws, ss in rows for k, (w, s) in enumerate(_share(ws or [], ss or []) or ())]
+            columns = zip(*found, strict=True) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in tables:
-            found = [(i, k, w, s) for i, ws, ss in zip(t["sent_id"], t["w"], t["s"], strict=True) for k, (w, s) in enumerate(_share(list(ws), list(ss)) or ())]
-            yield pd.DataFrame(found, columns=["sent_id", "pos", "word", "ipa"])
 
-    return lists.mapInPandas(run, "sent_id long, pos int, word string, ipa string")
+def approximate_pairs(outputs: DataFrame, ipa: str = "ipa_b") -> DataFrame:
+    """MN3: ``sent_id, pos, word, ipa``; where the lists differ in length, by proportion of the words' lengths."""
+    plain = outputs.where(F.col(ipa).isNotNull()).select("sent_id", "sentence", X.plain_ipa(F.col(ipa)).alias("s"))
+    lists = plain.select("sent_id", X.text_words(F.col("sentence")).alias("w"), X.ipa_words(F.col("s")).alias("s"))
+    return lists.mapInArrow(_shares, "sent_id long, pos int, word string, ipa string")
 
 
 # --- dictionaries (MN4, MN5, MN17) ------------------------------------------------------------------------------
@@ -125,10 +133,12 @@ def context_lexicon(pairs: DataFrame, isolated: DataFrame | None = None, with_ne
 def homograph_lexicon(examples: DataFrame, cached: DataFrame, least: int = 2) -> DataFrame:
     """MN5: ``word, sense, ipa, confidence, occurrences`` from examples (word, sense, sentence) and readings (sentence, ipa)."""
     known = cached.where("ipa <> ''").select("sentence", "ipa")
-    pairs = exact_pairs(F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), X.ipa_words(X.plain_ipa(F.col("ipa"))))
-    rows = examples.join(known, "sentence").select("word", "sense", "sentence", pairs.alias("pairs"))
-    first = F.get(F.filter("pairs", lambda p: F.lower(p["word"]) == F.col("word")), F.lit(0))["ipa"]
-    rows = rows.select("word", "sense", "sentence", first.alias("ipa")).where("ipa IS NOT NULL")
+    wanted = examples.groupBy("sentence").agg(F.collect_list(F.struct("word", "sense")).alias("e"))  # a sentence is joined once, whatever its examples
+    plain = wanted.join(known, "sentence").select("sentence", "e", X.plain_ipa(F.col("ipa")).alias("ipa"))
+    lists = plain.select("sentence", "e", F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"), X.ipa_words(F.col("ipa")).alias("s"))
+    lists = lists.select("sentence", "e", "s", F.when(F.size("w") == F.size("s"), F.transform("w", lambda w: F.lower(w))).alias("w"))
+    read = F.transform("e", lambda e: F.struct(e["word"].alias("word"), e["sense"].alias("sense"), F.get("s", F.nullif(F.array_position("w", e["word"]), F.lit(0)).cast("int") - 1).alias("ipa")))
+    rows = lists.select("sentence", read.alias("r")).select("sentence", F.inline_outer("r")).where("ipa IS NOT NULL")
     top = modal(rows, ["word", "sense"], "ipa", ["sentence"]).where(F.col("total") >= least)
     return top.select("word", "sense", X.base_ipa(F.col("top")).alias("ipa"), (F.col("n") / F.col("total")).alias("confidence"), F.col("total").alias("occurrences"))
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,23 @@ def test_context_of_a_long_sentence(spark):
         assert got == want and len(got) == 16
     assert [x[1] for x in got[:5]] == ["a", None, "i", None, "o"]
     assert sorted((r.doc, r.n_words) for r in P.word_rows(rows, whole=True).where("rest IS NOT NULL").collect()) == [(0, 16), (1, 0), (2, 0)]
+
+
+def test_alignment_holds_few_sentences_in_python():
+    batch = pa.RecordBatch.from_pydict({"sent_id": list(range(100)), "w": [["a", "b"]] * 99 + [None], "s": [["x", "y"]] * 50 + [["x", "y", "z"]] * 49 + [[]]})
+    got = [b.num_rows for b in mining._shares(iter([batch]))]
+    assert sum(got) == 198 and max(got) <= 2 * mining.SLICE
+
+
+def test_a_sentence_is_joined_once_for_all_its_examples(spark, sf_dir):
+    examples = spark.createDataFrame([("sol", "a", "O sol e o Sol"), ("o", "b", "O sol e o Sol"), ("lua", "c", "O sol e o Sol"), ("sol", "a", "sol"), ("sol", "a", "sol dois")], "word string, sense string, sentence string")
+    cached = spark.createDataFrame([("O sol e o Sol", "u sɔw i u sɔl"), ("sol", "sɔw"), ("sol dois", "sɔl"), ("sem", "x")], "sentence string, ipa string")
+    df = mining.homograph_lexicon(examples, cached, least=1)
+    assert sorted(map(tuple, df.collect())) == [("o", "b", "u", 1.0, 1), ("sol", "a", "sɔʊ", 1.0, 2)]
+    join = next(i for i, x in enumerate(plan(df).splitlines()) if "Join" in x)
+    assert any("collect_list" in x for x in plan(df).splitlines()[join:])
+
+
+def test_speech_is_worked_out_at_most_twice(spark, sf_dir):
+    """Once for the filter and once for the chunks; every branch of the chunks had worked it out again."""
+    assert plan(Q.chunk_packing(spark, sf_dir), "optimizedPlan").count("\\([^)]*") <= 2
