@@ -139,7 +139,8 @@ def categories(outputs: DataFrame, examples: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("category").orderBy("sent_id", "pos"))
     named = told(differences(again)).withColumn("r", rank).where(F.col("r") <= examples).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("e"))
     totals = counts.groupBy("category").agg(F.sum("n").alias("n"))
-    return totals.join(named, "category").select("category", "n", F.array_join(F.transform("e", lambda x: x["word"]), ",").alias("examples"))
+    # every category has examples; an inner join would filter the counts, which then were no longer one exchange for both
+    return totals.join(named, "category", "left").select("category", "n", F.array_join(F.transform("e", lambda x: x["word"]), ",").alias("examples"))
 
 
 def errors_by_sentence(outputs: DataFrame) -> DataFrame:

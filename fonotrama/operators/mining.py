@@ -220,13 +220,13 @@ def all_rules(items: DataFrame, least: int = 5, precision: float = 0.85, scopes:
     kinds = counted(items, ["word", "change" if change is None else "ipa_a", "ipa", *names], ["id"])
     kinds = kinds.withColumn("change", F.coalesce(F.col("change") if change is None else change, F.lit("desconhecido")))
     own = {"global": F.lit(""), "palavra": F.col("word")}
-    long = kinds.select("word", "change", "ipa", "n", "first", F.inline(feature_rows(names, base=True))).where("value IS NOT NULL")
+    long = kinds.select("word", "change", "ipa", "n", "first", F.inline(feature_rows(names, base=True))).drop("feature").where("value IS NOT NULL")
     held = F.array(*[F.struct(F.lit(s).alias("scope"), own[s].alias("word")) for s in scopes])
-    long = long.select("change", "ipa", "n", "first", "f", "feature", "value", F.inline(held))
+    long = long.select("change", "ipa", "n", "first", "f", "value", F.inline(held))
     keys = ["scope", "word", "change"]
-    top = modal(long, [*keys, "f", "feature", "value"], "ipa", ["first"], "n").withColumn("precision", F.col("n") / F.col("total"))
+    top = modal(long, [*keys, "f", "value"], "ipa", ["first"], "n").withColumn("precision", F.col("n") / F.col("total"))
     base = F.col("f") == -1
-    good = F.when(~base & (F.col("total") >= least) & (F.col("precision") >= precision), F.struct("f", "feature", "value", F.col("top").alias("ipa"), F.col("total").alias("coverage"), "precision"))
+    good = F.when(~base & (F.col("total") >= least) & (F.col("precision") >= precision), F.struct("f", F.get(F.array(*map(F.lit, FEATURES)), F.col("f")).alias("feature"), "value", F.col("top").alias("ipa"), F.col("total").alias("coverage"), "precision"))
     # the values of a group's features, of which there are few
     found = top.groupBy(*keys).agg(F.max(F.when(base, F.col("precision"))).alias("baseline"), F.max(F.when(base, F.col("total"))).alias("all"), F.collect_list(good).alias("r"))
     found = found.where((F.col("scope") == "global") | (F.col("all") >= least)).select(*keys, "baseline", F.inline("r")).where(F.col("precision") > F.col("baseline") + 0.02)

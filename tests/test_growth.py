@@ -99,3 +99,10 @@ def test_a_sentence_is_joined_once_for_all_its_examples(spark, sf_dir):
 def test_speech_is_worked_out_at_most_twice(spark, sf_dir):
     """Once for the filter and once for the chunks; every branch of the chunks had worked it out again."""
     assert plan(Q.chunk_packing(spark, sf_dir), "optimizedPlan").count("\\([^)]*") <= 2
+
+
+def test_categories_align_all_texts_once(outputs):
+    """Totals and the first sentences come from one exchange of counts."""
+    df = compare.categories(outputs)
+    df.collect()
+    assert sum("ReusedExchange" in x for x in plan(df).split("Initial Plan")[0].splitlines()) >= 1
